@@ -35,11 +35,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end, step = WordEncoder.of(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 128):
                 rows: list[tuple] = []
-                part = batch.slice(at, 512)
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True):
-                    ids = encoder.encode(text.as_py()) + end
+                part = batch.slice(at, 128)
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode_all(part["text"].to_pylist()), strict=True):
+                    ids += end
                     rows += [(doc, i // 4, (len(b := ids[i : i + step])) // 4, len(ids) // 4, b) for i in range(0, len(ids), step)]
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.binary()]

@@ -146,10 +146,10 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
                 key = batch["doc_id"]
                 null.append(np.asarray(key.is_null()))
                 ids.append(np.asarray(key.fill_null(0)))
-                for text in batch["text"]:
-                    data = encoder.encode(text.as_py()) + end
-                    lengths.append(len(data) // 4)
-                    out.write(data)
+                for at in range(0, batch.num_rows, 128):
+                    for data in encoder.encode_all(batch["text"].slice(at, 128).to_pylist()):
+                        lengths.append(len(data) // 4 + 1)
+                        out.write(data + end)
         if not lengths:
             fs.delete_file(path)
             return

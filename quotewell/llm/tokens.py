@@ -8,24 +8,31 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids are remembered in a Python worker, and the longest word that is.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
-_SPLIT = re.compile("[ \n]+")
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
+#: Words of plain letters are one pre-token each, and a mark after one is a pre-token of its own.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
+_SIMPLE_ALL = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?(?: |$))*+").fullmatch
+_MARK = np.zeros(256, np.int64)
+_MARK[list(b".,;:!?")] = 1
+
 
 
 class WordEncoder:
     """Encodes a text as ``Tokenizer.encode`` does, word by word, with the ids of frequent words remembered.
 
     For tokenizers that drop white space and never merge across it (a pre-tokenizer that keeps only matches without white
-    space, as in word_bpe_49k.json), the ids of a text are the ids of its pieces between spaces and line ends. Two
-    generations of remembered words bound the memory: words that are met again move to the new one.
+    space, as in word_bpe_49k.json), the ids of a text are the ids of its pieces between spaces and line ends. New words of
+    plain letters are encoded together and parted at their end-of-word tokens. The remembered words are dropped when they
+    are ``CACHE_WORDS``.
     """
 
     _held: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -35,25 +42,46 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null text has none."""
-        if not text:
-            return b""
-        words = _SPLIT.split(text)
-        new, old = self.new, self.old
-        missing = [w for w in dict.fromkeys(words) if w not in new]
-        extra = {}
-        if missing:
-            unknown = []
-            for w in missing:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    unknown.append(w)
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                (new if len(w) <= CACHE_CHARS else extra)[w] = np.asarray(e.ids, "<u4").tobytes()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same for several texts, whose new words are encoded together."""
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        new = self.new
+        missing = dict.fromkeys([w for words in split for w in words if w not in new])
+        extra = self._learn(list(missing)) if missing else None
         if extra:
-            out = b"".join([extra[w] if w in extra else new[w] for w in words])
+            out = [b"".join([extra[w] if w in extra else new[w] for w in words]) for words in split]
         else:
-            out = b"".join(map(new.__getitem__, words))
+            out = [b"".join(map(new.__getitem__, words)) for words in split]
         if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
+            new.clear()
+            new[""] = b""
         return out
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Remembers the ids of words; returns those of words too long to be remembered."""
+        new, extra, odd = self.new, {}, []
+        joined = " ".join(missing)
+        if not _SIMPLE_ALL(joined):
+            odd = [w for w in missing if not _SIMPLE(w)]
+            skip = set(odd)
+            missing = [w for w in missing if w not in skip]
+            joined = " ".join(missing)
+        if missing:
+            ids = np.asarray(self._ids(joined), "<u4")
+            chars = np.frombuffer((joined + " ").encode("latin-1"), np.uint8)
+            pieces = 1 + _MARK[chars[np.flatnonzero(chars == 32) - 1]]
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != pieces.sum():
+                raise ValueError("the tokenizer doesn't end each word with one end-of-word token")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(missing, (4 * (ends[np.cumsum(pieces) - 1] + 1)).tolist(), strict=True):
+                (new if len(w) <= CACHE_CHARS else extra)[w] = data[at:end]
+                at = end
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            (new if len(w) <= CACHE_CHARS else extra)[w] = np.asarray(e.ids, "<u4").tobytes()
+        return extra
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
