@@ -17,6 +17,18 @@ _MARK[list(b".,;:!?")] = 1
 
 
 
+def _lower(text: str) -> str:
+    """Lower-cased where that can't change ids: the tokenizer lower-cases too, but special tokens are found before."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
     """Encodes a text as ``Tokenizer.encode`` does, word by word, with the ids of frequent words remembered.
 
@@ -31,6 +43,7 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {"": b""}
+        self.marks = {c: np.asarray(self._ids(c), "<u4").tobytes() for c in ".,;:!?"}
         self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
@@ -46,7 +59,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The same for several texts, whose new words are encoded together."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         new = self.new
         missing = dict.fromkeys([w for words in split for w in words if w not in new])
         extra = self._learn(list(missing)) if missing else None
@@ -62,6 +75,13 @@ class WordEncoder:
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Remembers the ids of words; returns those of words too long to be remembered."""
         new, extra, odd = self.new, {}, []
+        marks, rest = self.marks, []
+        for w in missing:  # a mark after a letter is a pre-token of its own: a known word before it isn't encoded again
+            if w[-1] in marks and "A" <= w[-2:-1] <= "z" and w[-2].isalpha() and (held := new.get(w[:-1])) is not None:
+                new[w] = held + marks[w[-1]]
+            else:
+                rest.append(w)
+        missing = rest
         joined = " ".join(missing)
         if not _SIMPLE_ALL(joined):
             odd = [w for w in missing if not _SIMPLE(w)]
