@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
         ids: list[np.ndarray] = []
         null: list[np.ndarray] = []
         lengths: list[int] = []
-        with fs.open_output_stream(path) as out:
+        with fs.open_output_stream(path, compression=None) as out:
             for batch in batches:
                 key = batch["doc_id"]
                 null.append(np.asarray(key.is_null()))
