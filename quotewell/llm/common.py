@@ -6,7 +6,7 @@ import atexit
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,35 +94,34 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
-    """Adds a rank from 0, gapless and unique within ``keys``, without gathering a key in one task.
+    """Adds a rank from 0, gapless and unique within ``keys``, by the hash of ``order`` and then ``order``.
 
-    Rows are dealt to parts by the hash of ``order`` (a unique id keeps it deterministic), parts are as many as the key's
-    size asks for, and a part starts where the counts of the parts before it end.
+    No key is gathered in one task: the range of the hash is cut into parts, as many as the key's rows ask for, and a part
+    starts where the counts of the parts before it end. Rows that agree in ``order`` may swap their ranks.
     """
-    from pyspark.sql import Window
-
     spark = df.sparkSession
     total = max(1, df.count())
     each = max(64, total // (4 * partitions(spark)))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.where(F.col("__n") > each).collect()  # at most total / each keys: four a shuffle partition
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("__parts", T.LongType())])
+    schema = T.StructType([T.StructField(f"__k{i}", df.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("__parts", T.LongType())])
     parts = F.broadcast(spark.createDataFrame([(*r[:-1], -(-r["__n"] // each)) for r in hot], schema))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    dealt = df.alias("l").join(parts.alias("r"), on, "left").select("l.*", F.pmod(F.xxhash64(*order), F.coalesce("r.__parts", F.lit(1))).alias("__part"))
+
+    def same(extra: Column | None = None) -> Column:
+        on = F.lit(True) if extra is None else extra
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        return on
+
+    share = F.col("__h") / F.lit(2.0**64) + F.lit(0.5)
+    dealt = df.withColumn("__h", F.xxhash64(*order)).join(parts, same(), "left")
+    dealt = dealt.withColumn("__part", F.least(F.floor(share * F.coalesce("__parts", F.lit(1))), F.coalesce("__parts", F.lit(1)) - 1)).select(*df.columns, "__h", "__part")
     sizes = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.where("__part > 0").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__start")
-    w = Window.partitionBy(*keys, "__part").orderBy(*order)
-    on = F.col("__part") == F.col("__p")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__h", *order)) - 1)
     # starts has a row only for parts of hot keys: at most eight a shuffle partition
-    ranked = dealt.withColumn("__r", F.row_number().over(w) - 1)
-    return ranked.join(F.broadcast(starts), on, "left").withColumn(out, (F.col("__r") + F.coalesce("__start", F.lit(0))).cast("long")).select(*df.columns, out)
+    return ranked.join(F.broadcast(starts), same(F.col("__part") == F.col("__p")), "left").withColumn(out, (F.col("__r") + F.coalesce("__start", F.lit(0))).cast("long")).select(*df.columns, out)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

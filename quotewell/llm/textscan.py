@@ -15,6 +15,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For terms: all of ASCII but letters parts them.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at a time, and bytes of whole documents that make a chunk.
@@ -114,15 +116,15 @@ def text_buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(text: pa.Array, lower: bool = False) -> Iterator[Chunk]:
-    """Words of a text column, a few MB of whole documents at a time."""
+def chunks(text: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Iterator[Chunk]:
+    """Words of a text column, a few MB of whole documents at a time; ``space`` says which bytes part words."""
     buf, offs = text_buffers(text)
     i, rows = 0, len(offs) - 1
     while i < rows:
         j = min(rows, max(i + 1, int(np.searchsorted(offs, offs[i] + _CHUNK, "right")) - 1))
         raw = buf[offs[i] : offs[j]]
         bounds = offs[i : j + 1] - offs[i]
-        word = ~SPACE[raw]
+        word = ~space[raw]
         before = np.empty_like(word)
         after = np.empty_like(word)
         if len(word):
