@@ -58,10 +58,17 @@ class Scratch:
             pass
 
 
-def hot_keys(left: DataFrame, keys: Sequence[str]) -> list[tuple]:
-    """(key..., parts) of keys that hold more than a share of a partition; at most two a shuffle partition, whatever the size."""
+def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> list[tuple]:
+    """(key..., parts) of keys that hold more than a share of a partition; at most two a shuffle partition, whatever the size.
+
+    ``counts`` may give the (key..., n) of all keys with more than one row.
+    """
     spark = left.sparkSession
     n = 2 * partitions(spark)
+    if counts is not None:
+        top = counts.select(*keys, F.col("n").alias("__n")).orderBy(F.desc("__n")).limit(n).collect()
+        each = max(64, (counts.agg(F.sum("n")).first()[0] or 0) // (2 * n))
+        return [(*r[:-1], -(-r["__n"] // each)) for r in top if r["__n"] > each]
     top = left.where(F.concat(*[F.col(k).isNotNull().cast("string") for k in keys]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n")).limit(n).collect()
     if not top or top[0]["__n"] <= 64:
         return []
@@ -70,7 +77,7 @@ def hot_keys(left: DataFrame, keys: Sequence[str]) -> list[tuple]:
     return [(*r[:-1], -(-r["__n"] // each)) for r in top if r["__n"] > each]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """Joins a left side with repeated keys to a right side whose keys are unique.
 
     A key that holds many left rows is dealt over several partitions: its right row is repeated for each part and
@@ -78,7 +85,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     shuffle partitions. Null keys match nothing and are dealt out by the hash of their row.
     """
     spark = left.sparkSession
-    hot = hot_keys(left, keys)
+    hot = hot_keys(left, keys, counts)
     cols = left.columns
     row = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
     if not hot:

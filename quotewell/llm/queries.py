@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, tokenfile, toxicity, warc
+from . import langid, mixing, neardup, packing, quality, tokenfile, toxicity, warc
 from .common import Scratch, table
 
 #: Where the public tokenizer's file is; a parameter of the operators.
@@ -37,6 +37,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", "dup_ngram_chars")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, least=0.8)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["doc_id", "source"])
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -55,7 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_quality, op6_mixing, op7_langid, op8_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_quality, op5_neardup, op6_mixing, op7_langid, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
