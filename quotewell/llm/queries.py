@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, langid, mixing, neardup, packing, quality, tokenfile, toxicity, warc
+from . import embdedup, langid, linededup, mixing, neardup, packing, quality, tokenfile, toxicity, warc
 from .common import Scratch, table
 
 #: Where the public tokenizer's file is; a parameter of the operators.
@@ -58,12 +58,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed", "text")
+
+
 def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_quality, op5_neardup, op6_mixing, op7_langid, op8_toxicity, op10_embdedup)}
+    return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_quality, op5_neardup, op6_mixing, op7_langid, op8_toxicity, op9_linededup, op10_embdedup)}
 
 
 def oracle_sql() -> dict[str, str]:
