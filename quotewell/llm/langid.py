@@ -104,7 +104,7 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, smoothing: float = 0.5) -> Mod
                     seen[lang] = seen.get(lang, 0) + int((own == lang).sum())
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.r_[-1, at]), pa.array(np.r_[seen[lang], counts[at]])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.r_[-1, at]), pa.array(np.r_[seen[lang], counts[at]].astype(float))], ["lang", "bucket", "n"])
 
     counted = rows.select("text", "lang").mapInArrow(run, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted["lang"].to_pylist()))
