@@ -1,6 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-A shard is a ``.bin`` file of raw little-endian unsigned 32-bit ids, documents one after the other, and an ``.idx`` file:
+A shard is a ``.bin`` file of raw little-endian ids, documents one after the other, unsigned and of 16 bits where the vocabulary
+allows it, else of 32, and an ``.idx`` file:
 the shard's keys in order, a minimal perfect hash over them, and for each of its slots a 32-bit fingerprint of the key, the
 offset and the number of ids. A look-up hashes the key, reads one slot and compares the fingerprint: the time does not
 depend on the size of the shard, and an absent key is refused but for one case in 2**32.
@@ -105,7 +106,7 @@ class Shard:
         fs, path = open_fs(file + ".idx")
         with fs.open_input_file(path) as f:
             a = np.load(io.BytesIO(f.read()), allow_pickle=False)
-        self.ids, self.null = a["ids"], a["null"]
+        self.ids, self.null, self.width = a["ids"], a["null"], int(a["width"])
         cuts = np.cumsum(a["sizes"])[:-1]
         self.hash = PerfectHash([np.ascontiguousarray(x) for x in np.split(a["bits"], cuts)] if len(a["sizes"]) else [], a["rest"])
         self.prints, self.offsets, self.lengths = a["prints"], a["offsets"], a["lengths"]
@@ -118,10 +119,15 @@ class Shard:
         ok[ok] = self.prints[slot[ok]] == _fingerprint(keys[ok])
         return np.where(ok, self.offsets[slot] if self.hash.n else -1, -1), np.where(ok, self.lengths[slot] if self.hash.n else -1, -1)
 
-    def payload(self):
+    def payload(self) -> pa.NativeFile:
         fs, path = open_fs(self.file + ".bin")
         return fs.open_input_file(path)
 
+    def read(self, payload: pa.NativeFile, offset: int, length: int) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        data = payload.read_at(self.width * int(length), self.width * int(offset))
+        return np.frombuffer(data, "<u2").astype("<u4").tobytes() if self.width == 2 else data
+
 
 def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the ids of whole texts and ``end_id``, in ascending doc_id order; returns the manifest, a row a shard.
@@ -133,7 +139,9 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder.of(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encoder = WordEncoder.of(tokenizer)
+        width = 2 if len(encoder.last) <= 1 << 16 and end_id < 1 << 16 else 4
+        end = np.asarray([end_id], f"<u{width}").tobytes()
         part = TaskContext.get().partitionId()
         file = f"{root}/shard-{part:06d}-{uuid.uuid4().hex}"
         fs, path = open_fs(file + ".bin")
@@ -149,7 +157,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
                 for at in range(0, batch.num_rows, 128):
                     for data in encoder.encode_all(batch["text"].slice(at, 128).to_pylist()):
                         lengths.append(len(data) // 4 + 1)
-                        out.write(data + end)
+                        out.write((np.frombuffer(data, "<u4").astype("<u2").tobytes() if width == 2 else data) + end)
         if not lengths:
             fs.delete_file(path)
             return
@@ -161,7 +169,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
         prints[slot], offsets[slot], counts[slot] = _fingerprint(keys), np.cumsum(size) - size, size
         held = io.BytesIO()
         bits = np.concatenate(table.levels) if table.levels else np.zeros(0, np.uint64)
-        np.savez(held, ids=i, null=n, sizes=np.asarray([len(x) for x in table.levels]), bits=bits, rest=table.rest, prints=prints, offsets=offsets, lengths=counts)
+        np.savez(held, width=np.asarray(width), ids=i, null=n, sizes=np.asarray([len(x) for x in table.levels]), bits=bits, rest=table.rest, prints=prints, offsets=offsets, lengths=counts)
         with fs.open_output_stream(path[: -len(".bin")] + ".idx") as out:
             out.write(held.getvalue())
         valued = i[~n]
@@ -195,7 +203,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         offset, length = shard.find(shard.ids[s], shard.null[s], nth[s])
                         if (length < 0).any():
                             raise ValueError(f"{row['file']}: a key of the shard is not in its index")
-                        data = [f.read_at(4 * int(n), 4 * int(o)) for o, n in zip(offset, length, strict=True)]
+                        data = [shard.read(f, o, n) for o, n in zip(offset, length, strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(shard.ids[s], pa.int64(), mask=shard.null[s]), pa.array(offset + row["base"]), pa.array(length), pa.array(data, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return _starts(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
@@ -221,7 +229,7 @@ def fetch(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                         offset, length = shard.find(np.asarray([doc]), np.asarray([False]), np.asarray([nth]))
                         if length[0] < 0:
                             break
-                        rows.append({"doc_id": doc, "ids": f.read_at(4 * int(length[0]), 4 * int(offset[0]))})
+                        rows.append({"doc_id": doc, "ids": shard.read(f, offset[0], length[0])})
                         nth += 1
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
