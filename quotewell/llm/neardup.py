@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, lookup_join
 from .textscan import chunks, rolling
 
-#: Base and rate of the registers; bands and registers a band. At a similarity of 0.8 all bands miss once in 60,000 pairs.
-BASE, RATE, BANDS, ROWS = 1.001, 20.0, 28, 5
+#: Base and rate of the registers; bands and registers a band. At a similarity of 0.8 all bands miss once in 80,000 pairs.
+BASE, RATE, BANDS, ROWS = 1.001, 20.0, 48, 7
 M = BANDS * ROWS
 #: A pair whose most likely similarity is this many standard errors below the limit is not verified.
-ERRORS = 5.0
+ERRORS = 4.0
+#: Members of a bucket that make a block.
+BLOCK = 512
 #: Buckets of the filter that says whose sets are read again.
 FILTER = 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(sketches(docs, k), "sketches")
     classes = scratch.save(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
-    bands = classes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("key"))
+    bands = classes.select("fp", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key"))
     # min(fp ^ key) ^ key is a member chosen by the key: another centre in every band
     buckets = scratch.save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("fp ^ key")).alias("m")).where("n > 1").selectExpr("key", "n", "m ^ key centre"), "buckets")
     members = scratch.save(lookup_join(bands, buckets, ["key"], "inner", buckets), "members")
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     if more.take(1):
         links = links.union(more)
         labels = components(scratch, links)
-    rest = scratch.save(_residual(members, labels, classes, likely, scratch, least), "rest")
+    rest = scratch.save(_residual(members, labels, classes, scratch, least), "rest")
     if rest.take(1):
         wanted = rest.selectExpr("explode(array(a, b)) fp").distinct().join(sets.select("fp"), "fp", "left_anti").join(classes.select("fp", "rep"), "fp")
         sets = sets.union(scratch.save(full_sets(docs, wanted, k), "sets"))
@@ -206,19 +208,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, done: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """Likely pairs of a bucket that no star has joined: members outside the bucket's main component against its members elsewhere.
+def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(a, b) likely pairs that no star has joined: members outside a bucket's main component against its members elsewhere.
 
-    Large buckets are cut into chunks of about 512, and a member is sent to each chunk.
+    A bucket is cut into blocks of about ``BLOCK`` members; a row pairs two blocks, and of its pairs only those that the
+    registers leave likely come out, in the first of the buckets that they share.
     """
-    held = scratch.save(_labelled(members.select("key", "fp", "centre", F.col("n").alias("of")), labels, "fp", "label"), "held")
+    held = scratch.save(_labelled(members.select("key", "band", "fp", F.col("n").alias("of")), labels, "fp", "label"), "held")
     mixed = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     per = held.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = scratch.save(per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n")), "main")
-    sized = scratch.save(lookup_join(lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "fp", "label", "main", "(of + 511) div 512 parts"), classes.selectExpr("fp", "n size"), ["fp"], "inner"), "sized")
-    left = sized.where("label <> main").select("key", F.col("fp").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("main"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    right = sized.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
-    close = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, ["key", "part"]).where(close & F.expr("la <> lb and (lb = main or a < b)")).selectExpr("least(a, b) x", "greatest(a, b) y").distinct()
-    fresh = pairs.join(done.selectExpr("least(a, b) x", "greatest(a, b) y"), ["x", "y"], "left_anti").selectExpr("x a", "y b")
-    return _estimated(scratch.save(fresh, "fresh"), classes, least).select("a", "b")
+    own = lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "band", "fp", "label", "main", f"(of + {BLOCK - 1}) div {BLOCK} parts")
+    own = lookup_join(own, classes.selectExpr("fp", "n size", "regs"), ["fp"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    one = F.struct("fp", "label", "size", "regs")
+    blocks = own.groupBy("key", "part", "band", "main", "parts").agg(F.collect_list(F.when(F.col("label") != F.col("main"), one)).alias("few"), F.collect_list(one).alias("all"))
+    blocks = scratch.save(blocks, "blocks")
+    left = blocks.where(F.size("few") > 0).select("key", "band", "main", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    floor = least - ERRORS * (least * (1 - least) / M) ** 0.5
+
+    def fields(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = column[row].values
+        return (*(np.asarray(own.field(c)) for c in ("fp", "label", "size")), np.frombuffer(b"".join(own.field("regs").to_pylist()), "<u2").reshape(-1, M))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                band, main = batch["band"][row].as_py(), batch["main"][row].as_py()
+                fa, la, na, ra = fields(batch["few"], row)
+                fb, lb, nb, rb = fields(batch["all"], row)
+                found_a, found_b = [], []
+                for i in range(len(fa)):
+                    close = (lb != la[i]) & ((lb == main) | (fb > fa[i])) & (np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]) - 1e-9)
+                    j = np.flatnonzero(close)
+                    if not len(j):
+                        continue
+                    r = rb[j]
+                    more, less = (ra[i] > r).sum(1), (ra[i] < r).sum(1)
+                    # no similarity explains fewer equal registers than its share of them
+                    j, r, more, less = (x[M - more - less >= floor * M * 0.9] for x in (j, r, more, less))
+                    est = likely_similarity(more, less, np.full(len(j), float(na[i])), nb[j].astype(float))
+                    shared = (ra[i] == r).reshape(-1, BANDS, ROWS).all(2)
+                    j = j[(est >= floor) & (shared.argmax(1) == band)]
+                    found_a.append(np.full(len(j), fa[i]))
+                    found_b.append(fb[j])
+                if found_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+    return left.join(blocks.select("key", "part", "all"), ["key", "part"]).select("band", "main", "few", "all").mapInArrow(run, "a long, b long")
