@@ -76,7 +76,7 @@ def evaluate(counted: DataFrame, max_count: int | None = None, max_rate: float |
     if max_count is not None:
         failed = failed | (F.col("violations") > max_count)
     if max_rate is not None:
-        failed = failed | ((F.col("eligible") >= minimum_samples) & (F.col("violations").cast("decimal(38,0)") > F.col("eligible").cast("decimal(20,0)") * F.lit(str(max_rate)).cast("decimal(17,12)")))
+        failed = failed | ((F.col("eligible") >= minimum_samples) & (F.col("violations").cast("decimal(20,0)") > F.col("eligible").cast("decimal(20,0)") * F.lit(str(max_rate)).cast("decimal(13,12)")))
     return counted.withColumn("outcome", F.when(failed, "failed").when(F.col("violations") > 0, "degraded").otherwise("clean"))
 
 

@@ -43,13 +43,15 @@ def causal(events: DataFrame) -> DataFrame:
 
 
 def with_sequence(events: DataFrame, order: list[str], out: str = "timeline_sequence") -> DataFrame:
-    """A gapless position from 0 in a global order, without a single task: ranges, their sizes, and ranks within a range.
+    """A gapless position from 0 in a global order that starts with a number, without a single task.
 
-    The range boundaries are sampled, so ``events`` should be a written table: its plan is run for the sample, too.
+    Ranges of the first key are cut at its approximate quantiles, so they are fixed numbers however often the plan runs; a
+    position is the rows of the ranges before and the rank within the range.
     """
-    spark = events.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = events.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted({int(c) for c in events.approxQuantile(order[0], [i / n for i in range(1, n)], 0.25 / n)})
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    ranged = events.withColumn("__range", F.size(F.filter(bounds, lambda c: c <= F.col(order[0]))))
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     # one row a range: a window without partitions is as small as the number of ranges
     starts = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
