@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -49,6 +50,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, table: DataFrame) -> None:
+        """Deletes a saved table, and the shuffle files of plans that are gone."""
+        for f in {f.rpartition("/")[0] for f in table.inputFiles()[:1]}:
+            self.drop(f)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -5,13 +5,15 @@ A line is the set of its words. Words are ordered by rarity, from counts over al
 share a word of their prefixes. Posted pairs pass the length filter, the positional filter (the words after the shared one
 can't make up the overlap) and the parity of hashed words (each difference changes one bit), and are verified on the full sets.
 
-Lines of one set are one class, whose first line stands for it, so repeated lines are never paired. In a posting list of more than
-``STAR`` lines, lines are first compared with the list's earliest, and only those that stay are compared with all earlier ones.
+Lines of one set are one class, whose first line stands for it, so repeated lines are never paired. A line needs one similar line
+before it: a posting list gives each line an array of those that pass the filters, fewest differences first, the first of them is
+verified, and only lines that stay have the rest verified. Of lists longer than ``STAR``, and lists that are dealt out for their
+length, lines are compared with the earliest first, and only those that stay with all earlier ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ from .textscan import Chunk, chunks, mix
 
 #: Buckets of word counts, of the filters that say which documents and lines are read again, and the longest posting list
 #: whose pairs are all formed at once. Lines with fewer different words than ``MIN_WORDS`` are left alone.
-BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 256, 5
+BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 5
+#: Postings that are worked on at a time.
+_POSTINGS = 200_000
 _SLICES = 64
 _LAST = np.iinfo(np.int64).max
 
@@ -100,14 +104,15 @@ def _lines(docs: DataFrame, held, least_words: int, tenths: int) -> DataFrame:
 
 
 def _pass(na, nb, pa_, pb, xa, xb, tenths: int):
-    """The length, positional and parity filters on numpy arrays."""
+    """Differing parity bits of pairs, -1 for those that the length, positional or parity filter stops."""
     need = -(-tenths * (na + nb) // (10 + tenths))
-    fits = (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb)) & (np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1 >= need)
-    return fits & (np.bitwise_count((xa ^ xb).view(np.uint64)) <= na + nb - 2 * need)
+    fits = (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need)
+    differ = np.bitwise_count((xa ^ xb).view(np.uint64)).astype(np.int64)
+    return np.where(fits & (differ <= na + nb - 2 * need), differ, -1)
 
 
 def _candidates(tenths: int):
-    """Over postings sorted by (key, part, id): pairs of short lists and pairs with the first of long ones; the postings of long lists again."""
+    """Over postings sorted by (key, part, id): each line's earlier candidates as an array; the postings of long lists again."""
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, part, parts, ident, n, pos, parity = cols
@@ -118,42 +123,53 @@ def _candidates(tenths: int):
         long = np.repeat((length > STAR) | (parts[start] > 1), length)
         first, end = np.repeat(start, length), np.repeat(start + length, length)
         found = []
-        i = np.flatnonzero(long & (np.arange(len(key)) > first))
-        j = first[i]
-        ok = _pass(n[j], n[i], pos[j], pos[i], parity[j], parity[i], tenths)
-        found.append((ident[j[ok]], ident[i[ok]]))
+
+        def offer(i: np.ndarray, j: np.ndarray) -> None:
+            differ = _pass(n[i], n[j], pos[i], pos[j], parity[i], parity[j], tenths)
+            ok = differ >= 0
+            if ok.any():
+                found.append((i[ok], j[ok], differ[ok]))
+
+        j = np.flatnonzero(long & (np.arange(len(key)) > first))
+        offer(first[j], j)
         i, s = np.flatnonzero(~long), 0
         while len(i):
             s += 1
             i = i[end[i] > i + s]
-            j = i + s
-            ok = _pass(n[i], n[j], pos[i], pos[j], parity[i], parity[j], tenths)
-            if ok.any():
-                found.append((ident[i[ok]], ident[j[ok]]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            offer(i, i + s)
+        if found:
+            i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((i, differ, j))
+            i, j, differ = i[order], j[order], differ[order]
+            new = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(j)].astype(np.int32)), pa.array(ident[i]))
+            k = len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[j[new]]), lists, pa.array(differ[new]), *(pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], schema=POSTED)
         again = np.flatnonzero(long)
-        none = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(none(len(a), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], schema=POSTED)
         if len(again):
-            yield pa.RecordBatch.from_arrays([pa.array(ident[again]), none(len(again), pa.int64()), *(pa.array(x[again]) for x in (key, n, pos, parity))], schema=POSTED)
+            k = len(again)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[again]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), *(pa.array(x[again]) for x in (key, n, pos, parity))], schema=POSTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            cols = [np.asarray(c) for c in batch.columns]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) if len(cols[0]) else np.zeros(0, bool)
-            cut = len(same) - int(same.sum())
+            held.append([np.asarray(c) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < _POSTINGS:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = rows - int(((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])).sum())
             yield from work([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]  # a list that may go on: at most a part of a hot key's lines
-        if held is not None:
-            yield from work(held)
+            held = [[c[cut:] for c in cols]]  # a list that may go on: at most a part of a hot key's lines
+            rows -= cut
+        if rows:
+            yield from work([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
-POSTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int32()), ("n", pa.int32()), ("pos", pa.int32()), ("parity", pa.int64())])
+POSTED = pa.schema([("b", pa.int64()), ("before", pa.list_(pa.int64())), ("differ", pa.int64()), ("key", pa.int32()), ("n", pa.int32()), ("pos", pa.int32()), ("parity", pa.int64())])
 
 
 def _bits(df: DataFrame, column: str) -> np.ndarray:
@@ -182,14 +198,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, held, least_words: int) -> DataFra
     return wanted.select(F.col("id").alias("fp"), "hash").join(sets.dropDuplicates(["hash"]), "hash").select("fp", "items")
 
 
-def _resolve(pairs: DataFrame, classes: DataFrame, docs: DataFrame, held, scratch: Scratch, least_words: int, tenths: int) -> DataFrame:
-    """(v): the later lines of pairs (a, b), a before b, that are similar to some a of theirs."""
-    wanted = scratch.save(pairs.selectExpr("explode(array(a, b)) id").distinct().join(classes.selectExpr("id", "rk", "fp hash"), "id"), "wanted")
-    sets = scratch.save(_sets(docs, wanted, held, least_words), "sets")
-    early = scratch.save(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, tenths / 10).select("v").distinct(), "resolved")
-    rest = pairs.join(early.selectExpr("v b"), "b", "left_anti").join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
-    late = scratch.save(_verified(scratch.save(rest.select("a", "b"), "rest"), sets, tenths / 10).select("v").distinct(), "resolved")
-    return early.union(late)
+def _resolve(first: DataFrame, rest: Callable[[DataFrame], DataFrame], classes: DataFrame, docs: DataFrame, held, scratch: Scratch, least_words: int, tenths: int) -> DataFrame:
+    """(v): the later lines of pairs (a, b) that are similar; ``first`` has a pair a line, rest(resolved) what is left to try."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.save(pairs.selectExpr("explode(array(a, b)) id").distinct().join(classes.selectExpr("id", "rk", "fp hash"), "id"), "wanted")
+        sets = scratch.save(_sets(docs, wanted, held, least_words), "sets")
+        return scratch.save(_verified(pairs, sets, tenths / 10).select("v").distinct(), "resolved")
+
+    early = verified(first)
+    left = scratch.save(rest(early).join(first, ["a", "b"], "left_anti"), "rest")
+    return early.union(verified(left)) if left.take(1) else early
 
 
 def duplicate_lines(keyed: DataFrame, scratch: Scratch, least_words: int = MIN_WORDS, tenths: int = 8) -> DataFrame:
@@ -201,29 +220,33 @@ def duplicate_lines(keyed: DataFrame, scratch: Scratch, least_words: int = MIN_W
     # ids ascend with (d, rk, line): partitions are ranges, and so are the ids that Spark gives their rows
     ranged = firsts.select("fp", "times", "x.*").repartitionByRange(partitions(spark), "d", "rk", "line").sortWithinPartitions("d", "rk", "line")
     classes = scratch.save(ranged.withColumn("id", F.monotonically_increasing_id()), "classes")
+    occurrences = scratch.save(lines.select("rk", "line", "fp"), "occurrences")
+    del firsts, ranged
+    scratch.forget(lines)
     posted = classes.select("id", "n", "parity", F.posexplode("keys").alias("pos", "key"))
     lot = F.pmod(F.xxhash64("id"), F.lit(16)) == 0
     hot = hot_keys(classes.where(lot).select(F.explode("keys").alias("key")), ["key"])
     parts = F.broadcast(spark.createDataFrame(hot, "key int, parts long"))
     dealt = posted.join(parts, "key", "left").selectExpr("key", "cast(pmod(xxhash64(id), coalesce(parts, 1)) as int) part", "cast(coalesce(parts, 1) as int) parts", "id", "n", "pos", "parity")
     dealt = dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "id")
-    found = scratch.save(dealt.mapInArrow(_candidates(tenths), "a long, b long, key int, n int, pos int, parity long"), "found")
-    pairs = scratch.save(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    resolved = _resolve(pairs, classes, keyed, held, scratch, least_words, tenths)
-    long = found.where("b is null")
+    found = scratch.save(dealt.mapInArrow(_candidates(tenths), "b long, before array<long>, differ long, key int, n int, pos int, parity long"), "found")
+    some = found.where("before is not null")
+    first = scratch.save(some.groupBy("b").agg(F.min_by(F.col("before")[0], "differ").alias("a")).select("a", "b"), "first")
+    resolved = _resolve(first, lambda done: some.join(done.selectExpr("v b"), "b", "left_anti").select(F.explode("before").alias("a"), "b").distinct(), classes, keyed, held, scratch, least_words, tenths)
+    long = found.where("before is null")
     if long.take(1):
         # the lines of long lists that stay, against all earlier lines of those lists
-        probes = long.selectExpr("a b", "key", "n nb", "pos pb", "parity xb").join(resolved.selectExpr("v b"), "b", "left_anti")
+        probes = long.selectExpr("b", "key", "n nb", "pos pb", "parity xb").join(resolved.selectExpr("v b"), "b", "left_anti")
         need = f"((10 + {tenths} - 1 + {tenths} * (na + nb)) div (10 + {tenths}))"
         close = F.expr(f"a < b and 10 * least(na, nb) >= {tenths} * greatest(na, nb) and least(pa, pb) + least(na - pa, nb - pb) >= {need} and bit_count(xa ^ xb) <= na + nb - 2 * {need}")
-        more = probes.join(long.selectExpr("a", "key", "n na", "pos pa", "parity xa"), "key").where(close).select("a", "b").distinct()
-        more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        more = scratch.save(probes.join(long.selectExpr("b a", "key", "n na", "pos pa", "parity xa"), "key").where(close).groupBy("a", "b").agg(F.min(F.expr("bit_count(xa ^ xb)")).alias("differ")), "more")
         if more.take(1):
-            resolved = resolved.union(_resolve(more, classes, keyed, held, scratch, least_words, tenths))
+            first = scratch.save(more.groupBy("b").agg(F.min_by("a", "differ").alias("a")).select("a", "b"), "first")
+            resolved = resolved.union(_resolve(first, lambda done: more.join(done.selectExpr("v b"), "b", "left_anti").select("a", "b"), classes, keyed, held, scratch, least_words, tenths))
     resolved = resolved.distinct().selectExpr("v id", "true gone")
     bad = classes.select("id", "fp", F.col("rk").alias("rk1"), F.col("line").alias("line1"), F.col("times").alias("n")).join(resolved, "id", "left").where("gone or n > 1")
     bad = scratch.save(bad.selectExpr("fp", "rk1", "line1", "n", "coalesce(gone, false) gone"), "bad")
-    removed = lookup_join(lines.select("rk", "line", "fp"), bad, ["fp"], "inner", bad).where("gone or rk <> rk1 or line <> line1")
+    removed = lookup_join(occurrences, bad, ["fp"], "inner", bad).where("gone or rk <> rk1 or line <> line1")
     return scratch.save(removed.groupBy("rk").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
 
 
