@@ -4,7 +4,7 @@ A register of a document is the truncated, exponentially spaced minimum of its s
 the smallest exponential variate h, which merges by maximum and is equal in two documents about as often as they share
 shingles. Bands of registers name buckets; each bucket is a star around one of its members, another in every band. Pairs pass
 the joint likelihood of their registers, then the Jaccard similarity of the full sets. What stays in other components of a
-bucket after the stars is compared with the whole bucket, so that a star's centre decides no link.
+bucket after the stars is compared with the whole bucket, block by block, so that a star's centre decides no link.
 
 Documents of one set are one class, and only classes are compared; nodes are 64-bit hashes of whole sets.
 """
@@ -28,7 +28,7 @@ M = BANDS * ROWS
 #: A pair whose most likely similarity is this many standard errors below the limit is not verified.
 ERRORS = 4.0
 #: Members of a bucket that make a block.
-BLOCK = 512
+BLOCK = 256
 #: Buckets of the filter that says whose sets are read again.
 FILTER = 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -193,13 +193,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     if more.take(1):
         links = links.union(more)
         labels = components(scratch, links)
-    rest = scratch.save(_residual(members, labels, classes, scratch, least), "rest")
-    if rest.take(1):
-        wanted = rest.selectExpr("explode(array(a, b)) fp").distinct().join(sets.select("fp"), "fp", "left_anti").join(classes.select("fp", "rep"), "fp")
-        sets = sets.union(scratch.save(full_sets(docs, wanted, k), "sets"))
-        more = scratch.save(_verified(rest, sets, least), "links")
-        if more.take(1):
-            labels = components(scratch, links.union(more))
+    more = scratch.save(_residual(docs, members, labels, classes, scratch, k, least), "links")
+    if more.take(1):
+        labels = components(scratch, links.union(more))
     named = _labelled(classes.select("fp", "rep"), labels, "fp", "label")
     least_id = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = scratch.save(lookup_join(named, least_id, ["label"]).select("fp", "component_id"), "of_class")
@@ -208,50 +204,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """(a, b) likely pairs that no star has joined: members outside a bucket's main component against its members elsewhere.
+def _residual(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
+    """(u, v) links that no star has found: members outside a bucket's main component against its members elsewhere.
 
-    A bucket is cut into blocks of about ``BLOCK`` members; a row pairs two blocks, and of its pairs only those that the
-    registers leave likely come out, in the first of the buckets that they share.
+    A bucket is cut into blocks of about ``BLOCK`` members with their full sets; a row pairs two blocks. Of its pairs, those that
+    the registers leave likely are verified, in the first of the buckets that they share, until the member has a link to the
+    other's component: further ones join nothing new. Pairs never become rows.
     """
     held = scratch.save(_labelled(members.select("key", "band", "fp", F.col("n").alias("of")), labels, "fp", "label"), "held")
     mixed = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     per = held.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = scratch.save(per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n")), "main")
-    own = lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "band", "fp", "label", "main", f"(of + {BLOCK - 1}) div {BLOCK} parts")
-    own = lookup_join(own, classes.selectExpr("fp", "n size", "regs"), ["fp"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    one = F.struct("fp", "label", "size", "regs")
-    blocks = own.groupBy("key", "part", "band", "main", "parts").agg(F.collect_list(F.when(F.col("label") != F.col("main"), one)).alias("few"), F.collect_list(one).alias("all"))
-    blocks = scratch.save(blocks, "blocks")
-    left = blocks.where(F.size("few") > 0).select("key", "band", "main", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    floor = least - ERRORS * (least * (1 - least) / M) ** 0.5
-
-    def fields(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    own = scratch.save(lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "band", "fp", "label", "main", f"(of + {BLOCK - 1}) div {BLOCK} parts"), "own")
+    wanted = scratch.save(own.select("fp").distinct().join(classes, "fp"), "contested")
+    sets = scratch.save(full_sets(docs, wanted.select("fp", "rep"), k).join(wanted.selectExpr("fp", "n size", "regs"), "fp"), "sets")
+    own = lookup_join(own, sets, ["fp"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    one = F.struct("fp", "label", "size", "regs", "items")
+    blocks = scratch.save(own.groupBy("key", "part", "band", "main", "parts").agg(F.collect_list(one).alias("all")), "blocks")
+    few = F.filter("all", lambda x: x["label"] != F.col("main"))
+    left = blocks.withColumn("few", few).where(F.size("few") > 0).select("key", "band", "main", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    floor, percent = least - ERRORS * (least * (1 - least) / M) ** 0.5, round(100 * least)
+
+    def fields(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         own = column[row].values
-        return (*(np.asarray(own.field(c)) for c in ("fp", "label", "size")), np.frombuffer(b"".join(own.field("regs").to_pylist()), "<u2").reshape(-1, M))
+        sets = [np.frombuffer(x, np.uint64) for x in own.field("items").to_pylist()]
+        return (*(np.asarray(own.field(c)) for c in ("fp", "label", "size")), np.frombuffer(b"".join(own.field("regs").to_pylist()), "<u2").reshape(-1, M), sets)
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 band, main = batch["band"][row].as_py(), batch["main"][row].as_py()
-                fa, la, na, ra = fields(batch["few"], row)
-                fb, lb, nb, rb = fields(batch["all"], row)
-                found_a, found_b = [], []
+                fa, la, na, ra, sa = fields(batch["few"], row)
+                fb, lb, nb, rb, sb = fields(batch["all"], row)
+                links = []
                 for i in range(len(fa)):
                     close = (lb != la[i]) & ((lb == main) | (fb > fa[i])) & (np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i]) - 1e-9)
                     j = np.flatnonzero(close)
+                    same = ra[i] == rb[j]
+                    shared = same.reshape(-1, BANDS, ROWS).all(2)
+                    # the share of equal registers estimates the similarity; its likelihood is asked where that is near the limit
+                    near = (same.sum(1) >= 0.9 * floor * M) & (shared.argmax(1) == band)
+                    j = j[near]
                     if not len(j):
                         continue
-                    r = rb[j]
-                    more, less = (ra[i] > r).sum(1), (ra[i] < r).sum(1)
-                    # no similarity explains fewer equal registers than its share of them
-                    j, r, more, less = (x[M - more - less >= floor * M * 0.9] for x in (j, r, more, less))
-                    est = likely_similarity(more, less, np.full(len(j), float(na[i])), nb[j].astype(float))
-                    shared = (ra[i] == r).reshape(-1, BANDS, ROWS).all(2)
-                    j = j[(est >= floor) & (shared.argmax(1) == band)]
-                    found_a.append(np.full(len(j), fa[i]))
-                    found_b.append(fb[j])
-                if found_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    return left.join(blocks.select("key", "part", "all"), ["key", "part"]).select("band", "main", "few", "all").mapInArrow(run, "a long, b long")
+                    est = likely_similarity((ra[i] > rb[j]).sum(1), (ra[i] < rb[j]).sum(1), np.full(len(j), float(na[i])), nb[j].astype(float))
+                    done = set()
+                    for e, x in sorted(zip(-est, j.tolist(), strict=True)):
+                        if -e < floor:
+                            break
+                        if lb[x] not in done and alike(sa[i], sb[x]):
+                            done.add(lb[x])
+                            links.append((int(fa[i]), int(fb[x])))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+
+    return left.join(blocks.select("key", "part", "all"), ["key", "part"]).select("band", "main", "few", "all").mapInArrow(run, "u long, v long")
