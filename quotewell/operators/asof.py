@@ -18,18 +18,18 @@ def strict_asof(timeline: DataFrame, references: dict[str, Column], price: str,
     """
     time = order[0]
     body = F.struct(*order, price)
-    rows = timeline.withColumn("__b", F.floor(F.col(time) / width_ns))
+    rows = timeline.withColumn("__bucket", F.floor(F.col(time) / width_ns))
     for name, is_reference in references.items():
-        rows = rows.withColumn(f"__{name}", F.when(is_reference, body))
-    per = rows.groupBy("__b").agg(*[F.max(f"__{n}").alias(f"__c_{n}") for n in references])
+        rows = rows.withColumn(f"__ref_{name}", F.when(is_reference, body))
+    per = rows.groupBy("__bucket").agg(*[F.max(f"__ref_{n}").alias(f"__carry_{n}") for n in references])
     # one row a bucket of time
-    until = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select("__b", *[F.max(f"__c_{n}").over(until).alias(f"__c_{n}") for n in references])
-    w = Window.partitionBy("__b").orderBy(time).rangeBetween(Window.unboundedPreceding, -1) if by_time else Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carry, "__b")
+    until = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select("__bucket", *[F.max(f"__carry_{n}").over(until).alias(f"__carry_{n}") for n in references])
+    w = Window.partitionBy("__bucket").orderBy(time).rangeBetween(Window.unboundedPreceding, -1) if by_time else Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carry, "__bucket")
     for name in references:
-        joined = joined.withColumn(name, F.coalesce(F.max(f"__{name}").over(w), F.col(f"__c_{name}")))
-    return joined.drop("__b", *[f"__{n}" for n in references], *[f"__c_{n}" for n in references])
+        joined = joined.withColumn(name, F.coalesce(F.max(f"__ref_{name}").over(w), F.col(f"__carry_{name}")))
+    return joined.drop("__bucket", *[f"__ref_{n}" for n in references], *[f"__carry_{n}" for n in references])
 
 
 def aged(reference: Column, time: Column, max_age_ns: int, price: str, time_field: str) -> tuple[Column, Column]:

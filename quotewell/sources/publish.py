@@ -40,7 +40,12 @@ def publish(df: DataFrame, path: str, order: list[str], rows_per_file: int = 5_0
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/_manifest.json").collect()))
+    fs, where = _fs(spark, f"{path}/_manifest.json")
+    stream = fs.open(where)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def append_snapshot(df: DataFrame, path: str, snapshot_id: str) -> None:
