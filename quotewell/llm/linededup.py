@@ -84,30 +84,30 @@ def set_hash(rank: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 def _lines(docs: DataFrame, held, least_words: int, tenths: int) -> DataFrame:
-    """(d, rk, line, fp, n, parity, keys) of each line; keys are the words of the prefix."""
+    """(d, rk, line, fp, n, parity, parity2, keys) of each line; keys are the words of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch["text"], lower=True):
                 doc, number, size, rank, start = line_sets(c, held.value, least_words)
                 m = mix(rank)
-                bit = np.uint64(1) << (m & np.uint64(63))
-                parity = np.bitwise_xor.reduceat(bit, start).view(np.int64) if len(start) else np.zeros(0, np.int64)
+                at, high = np.uint64(1) << (m & np.uint64(63)), (m & np.uint64(64)) > 0
+                both = [np.bitwise_xor.reduceat(np.where(high == k, at, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for k in (False, True)]
                 prefix = size - -(-tenths * size // 10) + 1
                 pos = np.arange(len(rank)) - np.repeat(start, size)
                 keys = (m[pos < np.repeat(prefix, size)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(keys))
                 own = pa.array(c.first + doc)
-                yield pa.RecordBatch.from_arrays([batch["d"].take(own), batch["rk"].take(own), pa.array(number.astype(np.int32)), pa.array(set_hash(rank, start, size)), pa.array(size.astype(np.int32)), pa.array(parity), lists], ["d", "rk", "line", "fp", "n", "parity", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["d"].take(own), batch["rk"].take(own), pa.array(number.astype(np.int32)), pa.array(set_hash(rank, start, size)), pa.array(size.astype(np.int32)), *map(pa.array, both), lists], ["d", "rk", "line", "fp", "n", "parity", "parity2", "keys"])
 
-    return docs.select("d", "rk", "text").mapInArrow(run, "d long, rk long, line int, fp long, n int, parity long, keys array<int>")
+    return docs.select("d", "rk", "text").mapInArrow(run, "d long, rk long, line int, fp long, n int, parity long, parity2 long, keys array<int>")
 
 
-def _pass(na, nb, pa_, pb, xa, xb, tenths: int):
+def _pass(na, nb, pa_, pb, x, tenths: int):
     """Differing parity bits of pairs, -1 for those that the length, positional or parity filter stops."""
     need = -(-tenths * (na + nb) // (10 + tenths))
     fits = (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need)
-    differ = np.bitwise_count((xa ^ xb).view(np.uint64)).astype(np.int64)
+    differ = sum(np.bitwise_count(w.view(np.uint64)).astype(np.int64) for w in x)
     return np.where(fits & (differ <= na + nb - 2 * need), differ, -1)
 
 
@@ -115,17 +115,18 @@ def _candidates(tenths: int):
     """Over postings sorted by (key, part, id): each line's earlier candidates as an array; the postings of long lists again."""
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, part, parts, ident, n, pos, parity = cols
+        key, part, ident, packed, *parity = cols
+        n, pos = packed >> 24, packed & ((1 << 24) - 1)
         if not len(key):
             return
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         length = np.diff(np.r_[start, len(key)])
-        long = np.repeat((length > STAR) | (parts[start] > 1), length)
+        long = np.repeat((length > STAR) | (part[start] >= 0), length)
         first, end = np.repeat(start, length), np.repeat(start + length, length)
         found = []
 
         def offer(i: np.ndarray, j: np.ndarray) -> None:
-            differ = _pass(n[i], n[j], pos[i], pos[j], parity[i], parity[j], tenths)
+            differ = _pass(n[i], n[j], pos[i], pos[j], [w[i] ^ w[j] for w in parity], tenths)
             ok = differ >= 0
             if ok.any():
                 found.append((i[ok], j[ok], differ[ok]))
@@ -144,11 +145,11 @@ def _candidates(tenths: int):
             new = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(j)].astype(np.int32)), pa.array(ident[i]))
             k = len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(ident[j[new]]), lists, pa.array(differ[new]), *(pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], schema=POSTED)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[j[new]]), lists, pa.array(differ[new]), *(pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], schema=POSTED)
         again = np.flatnonzero(long)
         if len(again):
             k = len(again)
-            yield pa.RecordBatch.from_arrays([pa.array(ident[again]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), *(pa.array(x[again]) for x in (key, n, pos, parity))], schema=POSTED)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[again]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), *(pa.array(x[again]) for x in (key, packed, *parity))], schema=POSTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -169,7 +170,7 @@ def _candidates(tenths: int):
     return run
 
 
-POSTED = pa.schema([("b", pa.int64()), ("before", pa.list_(pa.int64())), ("differ", pa.int64()), ("key", pa.int32()), ("n", pa.int32()), ("pos", pa.int32()), ("parity", pa.int64())])
+POSTED = pa.schema([("b", pa.int64()), ("before", pa.list_(pa.int64())), ("differ", pa.int64()), ("key", pa.int32()), ("packed", pa.int64()), ("parity", pa.int64()), ("parity2", pa.int64())])
 
 
 def _bits(df: DataFrame, column: str) -> np.ndarray:
@@ -216,30 +217,30 @@ def duplicate_lines(keyed: DataFrame, scratch: Scratch, least_words: int = MIN_W
     spark = keyed.sparkSession
     held = spark.sparkContext.broadcast(rarity(keyed))
     lines = scratch.save(_lines(keyed, held, least_words, tenths), "lines")
-    firsts = lines.groupBy("fp").agg(F.min(F.struct("d", "rk", "line", "n", "parity", "keys")).alias("x"), F.count(F.lit(1)).alias("times"))
+    firsts = lines.groupBy("fp").agg(F.min(F.struct("d", "rk", "line", "n", "parity", "parity2", "keys")).alias("x"), F.count(F.lit(1)).alias("times"))
     # ids ascend with (d, rk, line): partitions are ranges, and so are the ids that Spark gives their rows
     ranged = firsts.select("fp", "times", "x.*").repartitionByRange(partitions(spark), "d", "rk", "line").sortWithinPartitions("d", "rk", "line")
     classes = scratch.save(ranged.withColumn("id", F.monotonically_increasing_id()), "classes")
     occurrences = scratch.save(lines.select("rk", "line", "fp"), "occurrences")
     del firsts, ranged
     scratch.forget(lines)
-    posted = classes.select("id", "n", "parity", F.posexplode("keys").alias("pos", "key"))
+    posted = classes.select("id", "n", "parity", "parity2", F.posexplode("keys").alias("pos", "key"))
     lot = F.pmod(F.xxhash64("id"), F.lit(16)) == 0
     hot = hot_keys(classes.where(lot).select(F.explode("keys").alias("key")), ["key"])
     parts = F.broadcast(spark.createDataFrame(hot, "key int, parts long"))
-    dealt = posted.join(parts, "key", "left").selectExpr("key", "cast(pmod(xxhash64(id), coalesce(parts, 1)) as int) part", "cast(coalesce(parts, 1) as int) parts", "id", "n", "pos", "parity")
+    dealt = posted.join(parts, "key", "left").selectExpr("key", "cast(coalesce(pmod(xxhash64(id), parts), -1) as int) part", "id", "shiftleft(cast(n as bigint), 24) + pos packed", "parity", "parity2")
     dealt = dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "id")
-    found = scratch.save(dealt.mapInArrow(_candidates(tenths), "b long, before array<long>, differ long, key int, n int, pos int, parity long"), "found")
+    found = scratch.save(dealt.mapInArrow(_candidates(tenths), "b long, before array<long>, differ long, key int, packed long, parity long, parity2 long"), "found")
     some = found.where("before is not null")
     first = scratch.save(some.groupBy("b").agg(F.min_by(F.col("before")[0], "differ").alias("a")).select("a", "b"), "first")
     resolved = _resolve(first, lambda done: some.join(done.selectExpr("v b"), "b", "left_anti").select(F.explode("before").alias("a"), "b").distinct(), classes, keyed, held, scratch, least_words, tenths)
     long = found.where("before is null")
     if long.take(1):
         # the lines of long lists that stay, against all earlier lines of those lists
-        probes = long.selectExpr("b", "key", "n nb", "pos pb", "parity xb").join(resolved.selectExpr("v b"), "b", "left_anti")
+        probes = long.selectExpr("b", "key", "shiftright(packed, 24) nb", "packed % 16777216 pb", "parity xb", "parity2 yb").join(resolved.selectExpr("v b"), "b", "left_anti")
         need = f"((10 + {tenths} - 1 + {tenths} * (na + nb)) div (10 + {tenths}))"
-        close = F.expr(f"a < b and 10 * least(na, nb) >= {tenths} * greatest(na, nb) and least(pa, pb) + least(na - pa, nb - pb) >= {need} and bit_count(xa ^ xb) <= na + nb - 2 * {need}")
-        more = scratch.save(probes.join(long.selectExpr("b a", "key", "n na", "pos pa", "parity xa"), "key").where(close).groupBy("a", "b").agg(F.min(F.expr("bit_count(xa ^ xb)")).alias("differ")), "more")
+        close = F.expr(f"a < b and 10 * least(na, nb) >= {tenths} * greatest(na, nb) and least(pa, pb) + least(na - pa, nb - pb) >= {need} and bit_count(xa ^ xb) + bit_count(ya ^ yb) <= na + nb - 2 * {need}")
+        more = scratch.save(probes.join(long.selectExpr("b a", "key", "shiftright(packed, 24) na", "packed % 16777216 pa", "parity xa", "parity2 ya"), "key").where(close).groupBy("a", "b").agg(F.min(F.expr("bit_count(xa ^ xb) + bit_count(ya ^ yb)")).alias("differ")), "more")
         if more.take(1):
             first = scratch.save(more.groupBy("b").agg(F.min_by("a", "differ").alias("a")).select("a", "b"), "first")
             resolved = resolved.union(_resolve(first, lambda done: more.join(done.selectExpr("v b"), "b", "left_anti").select("a", "b"), classes, keyed, held, scratch, least_words, tenths))
