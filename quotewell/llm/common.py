@@ -85,6 +85,12 @@ def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = No
     return [(*r[:-1], -(-r["__n"] // each)) for r in top if r["__n"] > each]
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether the size that Spark knows of a plan is within its limit for broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """Joins a left side with repeated keys to a right side whose keys are unique.
 
@@ -93,6 +99,8 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     shuffle partitions. Null keys match nothing and are dealt out by the hash of their row.
     """
     spark = left.sparkSession
+    if _small(right):  # Spark broadcasts it by the same figure
+        return left.join(right, list(keys), how)
     hot = hot_keys(left, keys, counts)
     cols = left.columns
     row = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
