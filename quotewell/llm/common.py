@@ -88,7 +88,7 @@ def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = No
 def _small(df: DataFrame) -> bool:
     """Whether the size that Spark knows of a plan is within its limit for broadcasts."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
