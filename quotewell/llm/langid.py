@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BUCKETS, LENGTHS, MAX_TRAIN, MAX_LANGS = 1 << 16, (1, 2, 3), 20_000, 512
 #: n-grams' worth of evidence at most in a score: neighbours depend on each other.
 EVIDENCE = 60
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 _table: list[np.ndarray] = []
 
 

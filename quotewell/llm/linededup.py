@@ -31,7 +31,7 @@ from .textscan import Chunk, chunks, mix
 #: whose pairs are all formed at once. Lines with fewer different words than ``MIN_WORDS`` are left alone.
 BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 5
 #: Postings that are worked on at a time.
-_POSTINGS = 200_000
+_POSTINGS = 100_000
 _SLICES = 64
 _LAST = np.iinfo(np.int64).max
 

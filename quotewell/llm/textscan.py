@@ -20,7 +20,7 @@ NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at a time, and bytes of whole documents that make a chunk.
-_SLICE, _CHUNK = 1 << 19, 1 << 21
+_SLICE, _CHUNK = 1 << 18, 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

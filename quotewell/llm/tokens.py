@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids are remembered in a Python worker, and the longest word that is.
-CACHE_WORDS, CACHE_CHARS = 800_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 #: Words of plain letters are one pre-token each, and a mark after one is a pre-token of its own.
 _SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
 _SIMPLE_ALL = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?(?: |$))*+").fullmatch
