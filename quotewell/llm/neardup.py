@@ -174,14 +174,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     repeat a doc_id are compared each by itself.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = scratch.save(sketches(docs, k), "sketches")
-    classes = scratch.save(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
+    sketched = scratch.save(sketches(docs, k), "sketches")
+    rows = scratch.save(sketched.select("doc_id", "n", "fp"), "rows")
+    classes = scratch.save(sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
+    scratch.forget(sketched)
     bands = classes.select("fp", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key"))
     # min(fp ^ key) ^ key is a member chosen by the key: another centre in every band
     buckets = scratch.save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("fp ^ key")).alias("m")).where("n > 1").selectExpr("key", "n", "m ^ key centre"), "buckets")
     members = scratch.save(lookup_join(bands, buckets, ["key"], "inner", buckets), "members")
-    stars = members.where("fp <> centre").selectExpr("centre a", "fp b").distinct()
-    likely = scratch.save(_estimated(scratch.save(stars, "stars"), classes, least), "likely")
+    scratch.forget(buckets)
+    stars = scratch.save(members.where("fp <> centre").selectExpr("centre a", "fp b").distinct(), "stars")
+    likely = scratch.save(_estimated(stars, classes, least), "likely")
+    scratch.forget(stars)
     wanted = likely.selectExpr("explode(array(a, b)) fp").distinct().join(classes.select("fp", "rep"), "fp")
     sets = scratch.save(full_sets(docs, wanted, k), "sets")
     # first the likeliest centre of each, then what still lies in two components
@@ -190,12 +194,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     labels = components(scratch, links)
     open_ = _labelled(_labelled(likely.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     more = scratch.save(_verified(scratch.save(open_, "open"), sets, least), "links")
+    scratch.forget(sets)
     if more.take(1):
         links = links.union(more)
         labels = components(scratch, links)
     more = scratch.save(_residual(docs, members, labels, classes, scratch, k, least), "links")
     if more.take(1):
         labels = components(scratch, links.union(more))
+    scratch.forget(members)
     named = _labelled(classes.select("fp", "rep"), labels, "fp", "label")
     least_id = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = scratch.save(lookup_join(named, least_id, ["label"]).select("fp", "component_id"), "of_class")
@@ -216,11 +222,13 @@ def _residual(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: D
     per = held.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = scratch.save(per.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n")), "main")
     own = scratch.save(lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "band", "fp", "label", "main", f"(of + {BLOCK - 1}) div {BLOCK} parts"), "own")
+    scratch.forget(held)
     wanted = scratch.save(own.select("fp").distinct().join(classes, "fp"), "contested")
     sets = scratch.save(full_sets(docs, wanted.select("fp", "rep"), k).join(wanted.selectExpr("fp", "n size", "regs"), "fp"), "sets")
     own = lookup_join(own, sets, ["fp"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     one = F.struct("fp", "label", "size", "regs", "items")
     blocks = scratch.save(own.groupBy("key", "part", "band", "main", "parts").agg(F.collect_list(one).alias("all")), "blocks")
+    scratch.forget(sets)
     few = F.filter("all", lambda x: x["label"] != F.col("main"))
     left = blocks.withColumn("few", few).where(F.size("few") > 0).select("key", "band", "main", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     floor, percent = least - ERRORS * (least * (1 - least) / M) ** 0.5, round(100 * least)
