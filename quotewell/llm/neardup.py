@@ -2,7 +2,7 @@
 
 A register of a document is the truncated, exponentially spaced minimum of its shingles' hashes: K = floor(1 - log_B(h / A)) for
 the smallest exponential variate h, which merges by maximum and is equal in two documents about as often as they share
-shingles. Bands of registers name buckets; each bucket is a star around one of its members, another in every band. Pairs pass
+shingles. Bands of registers name buckets; each bucket is a star around one of its members, chosen in one of ``CENTRES`` ways by its band. Pairs pass
 the joint likelihood of their registers, then the Jaccard similarity of the full sets. What stays in other components of a
 bucket after the stars is compared with the whole bucket, block by block, so that a star's centre decides no link.
 
@@ -27,6 +27,8 @@ BASE, RATE, BANDS, ROWS = 1.001, 20.0, 48, 7
 M = BANDS * ROWS
 #: A pair whose most likely similarity is this many standard errors below the limit is not verified.
 ERRORS = 4.0
+#: Choices of a star's centre among the bands.
+CENTRES = 16
 #: Members of a bucket that make a block.
 BLOCK = 256
 #: Buckets of the filter that says whose sets are read again.
@@ -179,8 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     classes = scratch.save(sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
     scratch.forget(sketched)
     bands = classes.select("fp", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key"))
-    # min(fp ^ key) ^ key is a member chosen by the key: another centre in every band
-    buckets = scratch.save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("fp ^ key")).alias("m")).where("n > 1").selectExpr("key", "n", "m ^ key centre"), "buckets")
+    # min(fp ^ salt) ^ salt is a member chosen by the salt: bands take turns with ``CENTRES`` of them, the same in large groups
+    buckets = scratch.save(bands.withColumn("salt", F.xxhash64(F.col("band") % CENTRES)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("fp ^ salt")).alias("m"), F.any_value("salt").alias("salt")).where("n > 1").selectExpr("key", "n", "m ^ salt centre"), "buckets")
     members = scratch.save(lookup_join(bands, buckets, ["key"], "inner", buckets), "members")
     scratch.forget(buckets)
     stars = scratch.save(members.where("fp <> centre").selectExpr("centre a", "fp b").distinct(), "stars")
