@@ -127,7 +127,7 @@ def _candidates(tenths: int):
 
         def offer(i: np.ndarray, j: np.ndarray) -> None:
             differ = _pass(n[i], n[j], pos[i], pos[j], [w[i] ^ w[j] for w in parity], tenths)
-            ok = differ >= 0
+            ok = (differ >= 0) & (ident[i] != ident[j])  # two words of one line may share a key
             if ok.any():
                 found.append((i[ok], j[ok], differ[ok]))
 
@@ -203,6 +203,7 @@ def _resolve(first: DataFrame, rest: Callable[[DataFrame], DataFrame], classes:
     """(v): the later lines of pairs (a, b) that are similar; ``first`` has a pair a line, rest(resolved) what is left to try."""
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a <> b")
         wanted = scratch.save(pairs.selectExpr("explode(array(a, b)) id").distinct().join(classes.selectExpr("id", "rk", "fp hash"), "id"), "wanted")
         sets = scratch.save(_sets(docs, wanted, held, least_words), "sets")
         return scratch.save(_verified(pairs, sets, tenths / 10).select("v").distinct(), "resolved")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quotewell.llm import linededup
@@ -55,3 +56,22 @@ def test_lines_match_all_pairs(spark, monkeypatch, star):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(docs).count() == 0
+
+
+def test_words_of_one_key_in_a_line(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    c = next(linededup.chunks(linededup.pa.array([" ".join(words)])))
+    rank = (np.uint64(25) << np.uint64(54)) | (c.hashes() >> np.uint64(10))
+    key = linededup.mix(rank) >> np.uint64(32)
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    assert len(at)
+    common = [f"common{i}" for i in range(7)]
+    rows = [(i, " ".join([words[order[k]], words[order[k + 1]], *common])) for i, k in enumerate(at[:3])]
+    rows += [(100 + i, f"{w} alone here{i}") for i, w in enumerate(common * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    held = spark.sparkContext.broadcast(linededup.rarity(docs))
+    lines = linededup._lines(docs.selectExpr("doc_id d", "doc_id rk", "text"), held, 5, 8).collect()
+    assert any(len(set(r["keys"])) < len(r["keys"]) for r in lines)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.removed) for r in linededup.dedup_lines(docs).collect()), key=str)
+    assert got == brute(rows, linededup.MIN_WORDS)
