@@ -28,8 +28,8 @@ from .neardup import _verified
 from .textscan import Chunk, chunks, mix
 
 #: Buckets of word counts, of the filters that say which documents and lines are read again, and the longest posting list
-#: whose pairs are all formed at once. Lines with fewer different words than ``MIN_WORDS`` are left alone.
-BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 5
+#: whose pairs are all formed at once. Every line with a word takes part.
+BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 1
 #: Postings that are worked on at a time.
 _POSTINGS = 100_000
 _SLICES = 64
@@ -84,7 +84,7 @@ def set_hash(rank: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 def _lines(docs: DataFrame, held, least_words: int, tenths: int) -> DataFrame:
-    """(d, rk, line, fp, n, parity, parity2, keys) of each line; keys are the words of the prefix."""
+    """(d, rk, line, fp, n, parity, parity2, keys) of each line; keys are the words of the prefix, none if only equal lines are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,8 @@ def _lines(docs: DataFrame, held, least_words: int, tenths: int) -> DataFrame:
                 m = mix(rank)
                 at, high = np.uint64(1) << (m & np.uint64(63)), (m & np.uint64(64)) > 0
                 both = [np.bitwise_xor.reduceat(np.where(high == k, at, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for k in (False, True)]
-                prefix = size - -(-tenths * size // 10) + 1
+                # a line that neither one word more nor another word leaves similar is only like its equals, its class
+                prefix = np.where(10 * size >= tenths * (size + 1), size - -(-tenths * size // 10) + 1, 0)
                 pos = np.arange(len(rank)) - np.repeat(start, size)
                 keys = (m[pos < np.repeat(prefix, size)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(keys))
@@ -256,8 +257,8 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORD
     """``docs`` with text less the lines that are similar to a line before, n_lines and removed (their numbers from 0).
 
     Lines come in the order of doc_id, null last, and their place in the text. A line goes if an earlier one, removed or not,
-    has a Jaccard similarity of ``least`` (in tenths) or more on its words, lower-cased in A-Z; lines of fewer than ``least_words``
-    different words stay. Null texts stay null with one line. Rows that repeat doc_id and text count as one document.
+    has a Jaccard similarity of ``least`` (in tenths) or more on its words, lower-cased in A-Z; lines without a word, or
+    of fewer than ``least_words`` different ones, stay. Null texts stay null with one line. Rows that repeat doc_id and text count as one document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")

@@ -75,3 +75,15 @@ def test_words_of_one_key_in_a_line(spark):
     assert any(len(set(r["keys"])) < len(r["keys"]) for r in lines)
     got = sorted(((r.doc_id, r.text, r.n_lines, r.removed) for r in linededup.dedup_lines(docs).collect()), key=str)
     assert got == brute(rows, linededup.MIN_WORDS)
+
+
+@pytest.mark.parametrize("tenths", [8, 6, 10])
+def test_short_lines(spark, tenths):
+    rng = random.Random(tenths)
+    words = [f"s{i}" for i in range(9)]
+    lines = ["All rights reserved.", "Les.", "les. Les.", "of of of of of of", " \t", "", "a b c d", "a b c d e", "b c d e", "d c b a"]
+    lines += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 3)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.removed) for r in linededup.dedup_lines(docs, tenths / 10).collect()), key=str)
+    assert got == brute(rows, 1, tenths)
