@@ -36,14 +36,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates (five words, a similarity of 0.8).
+    """The document with the smallest doc_id, null last, of each group of near-duplicates (five words, a similarity of 0.8).
 
-    Of rows that repeat a kept doc_id, each stays.
+    Of rows that repeat doc_id and text, one stays; documents without words are groups by themselves.
     """
-    found = neardup.near_duplicates(docs, k=5, least=0.8)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    return _sized(docs.join(kept, "doc_id", "left_semi").unionByName(nameless))
+    found = neardup.grouped(docs, k=5, least=0.8)
+    kept = Scratch(spark, "kept").save(found.where("kept").groupBy("rk").agg(F.count_if(F.col("n_shingles") > 0).alias("n")), "kept")
+    keyed = docs.withColumn("rk", neardup.row_key())
+    once = keyed.join(kept.where("n <= 1"), "rk", "left_semi")
+    repeated = keyed.join(kept.where("n > 1"), "rk", "left_semi").dropDuplicates(["rk"])
+    return _sized(once.unionByName(repeated))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, lookup_join
@@ -88,17 +88,22 @@ def likely_similarity(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray,
     return (low + high) / 2
 
 
+def row_key() -> Column:
+    """A key of rows (doc_id, text) that is never null; rows that repeat both are one document."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp, regs): size, hash and registers of each document's set; fp and regs are null for the empty set."""
+    """(doc_id, rk, n, fp, regs): row key, size, hash and registers of each document's set; fp and regs are null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch["text"], k):
                 fp = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
                 regs = [registers(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "fp", "regs"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(sets)), batch["rk"].slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "rk", "n", "fp", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, n long, fp long, regs binary")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -121,14 +126,14 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(fp, items) of the wanted (fp, rep): sets of the representatives' texts, read again.
+    """(fp, items) of the wanted (fp, rk): sets of the representatives' texts, read again.
 
-    A filter of ``FILTER`` bits on doc_id is all that is broadcast; documents that it lets pass in vain fall out in the join.
+    A filter of ``FILTER`` bits on the row key is all that is broadcast; documents that it lets pass in vain fall out in the join.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER))
+    bucket = F.pmod(row_key(), F.lit(FILTER))
     bits = np.zeros(FILTER, bool)
-    found = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("b")).distinct().toArrow()["b"].to_numpy()  # at most FILTER rows
+    found = wanted.select(F.pmod("rk", F.lit(FILTER)).alias("b")).distinct().toArrow()["b"].to_numpy()  # at most FILTER rows
     bits[found] = True
     held = spark.sparkContext.broadcast(np.packbits(bits))
 
@@ -141,7 +146,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 fp = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "items"])
 
-    sets = docs.where("doc_id is not null").select(bucket.alias("b"), "text").mapInArrow(run, "fp long, items binary")
+    sets = docs.select(bucket.alias("b"), "text").mapInArrow(run, "fp long, items binary")
     return sets.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -172,13 +177,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that similar texts reach; a document without words is its own. A null doc_id is never
-    the smallest: its component_id is that of the others, or null, and it isn't kept unless alone with its words. Rows that
-    repeat a doc_id are compared each by itself.
+    the smallest: its component_id is that of the others, or null where all are null. Rows that repeat a doc_id are compared
+    each by itself. One document of a component is kept: of those with its smallest doc_id, or of nulls only, the one with the
+    smallest ``row_key``; rows that repeat doc_id and text are one document.
     """
+    return grouped(docs, k, least).drop("rk")
+
+
+def grouped(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """``near_duplicates`` with each row's key rk."""
     scratch = Scratch(docs.sparkSession, "neardup")
     sketched = scratch.save(sketches(docs, k), "sketches")
-    rows = scratch.save(sketched.select("doc_id", "n", "fp"), "rows")
-    classes = scratch.save(sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
+    rows = scratch.save(sketched.select("doc_id", "rk", "n", "fp"), "rows")
+    classes = scratch.save(sketched.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk")).alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "classes")
     scratch.forget(sketched)
     bands = classes.select("fp", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key"))
     # min(fp ^ salt) ^ salt is a member chosen by the salt: bands take turns with ``CENTRES`` of them, the same in large groups
@@ -188,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     stars = scratch.save(members.where("fp <> centre").selectExpr("centre a", "fp b").distinct(), "stars")
     likely = scratch.save(_estimated(stars, classes, least), "likely")
     scratch.forget(stars)
-    wanted = likely.selectExpr("explode(array(a, b)) fp").distinct().join(classes.select("fp", "rep"), "fp")
+    wanted = likely.selectExpr("explode(array(a, b)) fp").distinct().join(classes.select("fp", "rep.rk"), "fp")
     sets = scratch.save(full_sets(docs, wanted, k), "sets")
     # first the likeliest centre of each, then what still lies in two components
     best = likely.groupBy("b").agg(F.max_by("a", "est").alias("a"))
@@ -205,11 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
         labels = components(scratch, links.union(more))
     scratch.forget(members)
     named = _labelled(classes.select("fp", "rep"), labels, "fp", "label")
-    least_id = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = scratch.save(lookup_join(named, least_id, ["label"]).select("fp", "component_id"), "of_class")
-    out = lookup_join(rows.select("doc_id", "n", "fp"), of_class, ["fp"])
+    least_id = named.groupBy("label").agg(F.min("rep").alias("first"))
+    of_class = scratch.save(lookup_join(named, least_id, ["label"]).selectExpr("fp", "first.doc_id component_id", "first.rk kept_rk"), "of_class")
+    out = lookup_join(rows.select("doc_id", "rk", "n", "fp"), of_class, ["fp"])
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("fp").isNull() | F.col("rk").eqNullSafe(F.col("kept_rk"))
+    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _residual(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
@@ -226,7 +238,7 @@ def _residual(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: D
     own = scratch.save(lookup_join(held, main.select("key", "main", "n"), ["key"], "inner", main).selectExpr("key", "band", "fp", "label", "main", f"(of + {BLOCK - 1}) div {BLOCK} parts"), "own")
     scratch.forget(held)
     wanted = scratch.save(own.select("fp").distinct().join(classes, "fp"), "contested")
-    sets = scratch.save(full_sets(docs, wanted.select("fp", "rep"), k).join(wanted.selectExpr("fp", "n size", "regs"), "fp"), "sets")
+    sets = scratch.save(full_sets(docs, wanted.select("fp", "rep.rk"), k).join(wanted.selectExpr("fp", "n size", "regs"), "fp"), "sets")
     own = lookup_join(own, sets, ["fp"], "inner").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     one = F.struct("fp", "label", "size", "regs", "items")
     blocks = scratch.save(own.groupBy("key", "part", "band", "main", "parts").agg(F.collect_list(one).alias("all")), "blocks")

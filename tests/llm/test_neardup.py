@@ -74,3 +74,35 @@ def test_registers_merge_and_estimate():
         ra, rb = neardup.registers(x[:2000]), neardup.registers(x[400:])
         errors.append(neardup.likely_similarity(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([2000.0]), np.array([2000.0]))[0] - 1600 / 2400)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def nameless_rows():
+    rng = random.Random(11)
+    fresh = lambda: [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda words, at: " ".join([*words[:at], f"x{at}", *words[at + 1 :]])
+    a, b, c, d = (fresh() for _ in range(4))
+    bridge = [" ".join(x) for x in (b, [*b[4:], *"klmn"], [*b[8:], *"klmnopqr"])]  # the middle one is near to both ends
+    rows = [(None, near(a, 5)), (None, near(a, 58)), (None, " ".join(a))]
+    rows += [(1, bridge[0]), (None, bridge[1]), (2, bridge[2])]
+    rows += [(None, " ".join(c))] * 3 + [(3, near(d, 1)), (3, near(d, 58)), (4, " ".join(d)), (4, " ".join(fresh())), (5, " ".join(c)), (None, near(c, 59))]
+    return rows + [(None, " ".join(fresh())), (6, "alone with these few words"), (6, "alone with these few words")]
+
+
+def test_near_copies_without_an_id(spark):
+    rows = nameless_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 4)
+    got = neardup.near_duplicates(docs, k=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted((x[:3] for x in want), key=str)
+    # groups: a, bridge, c, d, three that are alone (one of them is a row that is there twice)
+    assert sum(r.kept for r in got) == 8
+    assert {(r.doc_id, r.component_id) for r in got if r.kept} == {(None, None), (1, 1), (3, 3), (4, 4), (5, 5), (6, 6)}
+
+
+def test_stage_keeps_one_document_a_group(spark):
+    import corpus_pipeline as cp
+
+    rows = nameless_rows()
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in cp.near_dedup(spark, docs, "").collect())
+    assert got == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0), (True, 0)]
