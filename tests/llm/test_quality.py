@@ -55,3 +55,21 @@ def test_on_labelled_rows(spark):
     rows = got.where("not base_failed").groupBy("quality").agg({"*": "count"}).collect()
     kept = {r[0]: r[1] for r in got.where("kept").groupBy("quality").count().collect()}
     assert kept[1] / {r[0]: r[1] for r in rows}[1] > 0.97
+
+
+def test_twofold_passages_fail_by_coverage(spark, tmp_path):
+    from quotewell.llm.queries import op4_quality
+
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    # share of all words that lie in a passage that occurs twice: 0, a fifth, 44 percent (the base rule allows 50)
+    rows = []
+    for i, n in enumerate((0, 10, 22)):
+        passage = fresh(n)
+        rows.append((i, " ".join([*fresh(30), *passage, *fresh(70 - 2 * n), *passage])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_quality(spark, str(tmp_path)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(3)] == [True, True, False]
+    assert got[2].dup_ngram_chars == [44 * 6] * 3 and got[2].n_symbols == 0
