@@ -23,10 +23,12 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognized, under that language; null texts and texts without a letter go."""
+    """Documents whose language is recognized, under that language; null texts, texts without a letter and texts that are like
+    none of the learned languages go.
+    """
     model = langid.train(docs)
     found = langid.identify(docs, model, tuple(COLUMNS))
-    return _sized(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")))
+    return _sized(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("fits")).withColumn("lang", F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,8 @@ class Model:
     langs: list[str]
     log_prob: np.ndarray  # buckets x languages
     prior: np.ndarray
+    #: Mean log probability of an n-gram, by language, halfway between the training sample's and an n-gram's never seen.
+    least_fit: np.ndarray | float = -np.inf
 
 
 def train(docs: DataFrame, most: int = MAX_TRAIN, smoothing: float = 0.5) -> Model:
@@ -116,10 +118,19 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, smoothing: float = 0.5) -> Mod
     doc = bucket < 0
     prior[where[doc]] = n[doc]
     matrix[bucket[~doc], where[~doc]] += n[~doc]
-    return Model(langs, np.log(matrix / matrix.sum(0)).astype(np.float32) if langs else matrix, np.log(prior / prior.sum()) if langs else prior)
+    if not langs:
+        return Model(langs, matrix, prior, prior)
+    log_prob, own = np.log(matrix / matrix.sum(0)), matrix - smoothing
+    known = (own * log_prob).sum(0) / np.maximum(own.sum(0), 1)
+    return Model(langs, log_prob.astype(np.float32), np.log(prior / prior.sum()), (known + np.log(smoothing / matrix.sum(0))) / 2)
 
 
 def score_texts(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
+    return _scored(model, texts)[:2]
+
+
+def _scored(model: Model, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score, and whether the text is more like the language's training sample than like n-grams never seen."""
     doc, bucket, count, n_letters = grams(texts)
     out = np.zeros((len(texts), len(model.langs)))
     each = model.log_prob[bucket] * count[:, None]
@@ -127,17 +138,20 @@ def score_texts(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
     if len(starts):
         out[doc[starts]] = np.add.reduceat(each.astype(np.float64), starts, axis=0)
     total = np.bincount(doc, weights=count, minlength=len(texts))
+    mean = out / np.maximum(total, 1)[:, None]
     out = out * (np.minimum(total, EVIDENCE) / np.maximum(total, 1))[:, None] + model.prior
     p = np.exp(out - out.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
     none = n_letters == 0
-    return ["und" if none[i] else model.langs[b] for i, b in enumerate(best)], np.where(none, 0.0, p[np.arange(len(best)), best])
+    row = np.arange(len(best))
+    return ["und" if none[i] else model.langs[b] for i, b in enumerate(best)], np.where(none, 0.0, p[row, best]), ~none & (mean[row, best] >= np.broadcast_to(model.least_fit, len(model.langs))[best])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score of every whole text; texts that are null or have no letter are ``und`` with score 0.
+    """``keep`` columns, lang_pred, score and fits of every whole text; texts that are null or have no letter are ``und`` with score 0.
 
+    The score only weighs the learned languages against each other: ``fits`` is false for texts that are like none of them.
     A model that learned nothing calls everything ``und``. Equal scores go to the language first in code points.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -147,15 +161,17 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             preds: list[str] = []
             scores: list[np.ndarray] = []
+            fits: list[np.ndarray] = []
             for _, part in _parts(batch["__text"].to_pylist()):
                 if held.value.langs:
-                    p, s = score_texts(held.value, part)
+                    p, s, f = _scored(held.value, part)
                 else:
-                    p, s = ["und"] * len(part), np.zeros(len(part))
+                    p, s, f = ["und"] * len(part), np.zeros(len(part)), np.zeros(len(part), bool)
                 preds += p
                 scores.append(s)
+                fits.append(f)
             cols = [batch[k] for k in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(np.concatenate(fits) if fits else np.zeros(0, bool))], [*keep, "lang_pred", "score", "fits"])
 
-    out = schema.add("lang_pred", "string").add("score", "double")
+    out = schema.add("lang_pred", "string").add("score", "double").add("fits", "boolean")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, out)

@@ -45,3 +45,17 @@ def test_stages_match_plain_versions(spark):
     for d, n in copies.items():
         assert seen[d] == n * (len(tokenizer.encode(text[d], add_special_tokens=False).ids) + 1)
     assert cp.run(spark, sf).count() > 0
+
+
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    others = ["Быстрая коричневая лиса прыгает через ленивую собаку", "今日は良い天気ですね散歩に行きましょう", "η γρήγορη καφέ αλεπού πηδάει πάνω", "Москва"]
+    extra = spark.createDataFrame([(900_001 + i, t, None, "src0", len(t)) for i, t in enumerate(others)], docs.schema)
+    kept = {r.doc_id for r in cp.language_id(spark, docs.union(extra), "").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_short_repeated_lines_go(spark):
+    rows = [(1, "Les.\nAll rights reserved.\nLes."), (2, "all rights reserved.\nnew"), (3, "les."), (4, " ")]
+    docs = spark.createDataFrame([(d, t, "fr", "src0", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in cp.line_dedup(spark, docs, "").collect()) == [(1, "Les.\nAll rights reserved."), (2, "new"), (4, " ")]
