@@ -21,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at a time, and bytes of whole documents that make a chunk.
 _SLICE, _CHUNK = 1 << 18, 1 << 20
+#: The first k of eight bytes, read as a little-endian number.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,7 +45,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans ascend and don't overlap."""
+    """A 64-bit hash of each span of bytes; spans ascend and don't overlap.
+
+    Spans of up to 48 bytes are hashed in words of eight bytes, longer ones by prefix sums of their bytes.
+    """
+    size = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), np.uint64, buffer=padded, strides=(1,))
+    out = mix((eight[starts] & _KEPT[np.minimum(size, 8)]) + size.astype(np.uint64) * _P)
+    at = np.flatnonzero(size > 8)
+    for done in range(8, 48, 8):
+        if not len(at):
+            return out
+        out[at] = mix((out[at] ^ (eight[starts[at] + done] & _KEPT[np.minimum(size[at] - done, 8)])) * _P)
+        at = at[size[at] > done + 8]
+    if len(at):
+        out[at] = _long_hash(buf, starts[at], ends[at])
+    return out
+
+
+def _long_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -124,7 +145,7 @@ def chunks(text: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> It
         j = min(rows, max(i + 1, int(np.searchsorted(offs, offs[i] + _CHUNK, "right")) - 1))
         raw = buf[offs[i] : offs[j]]
         bounds = offs[i : j + 1] - offs[i]
-        word = ~space[raw]
+        word = (raw != 32) & (raw - np.uint8(9) > 4) if space is SPACE else ~space[raw]
         before = np.empty_like(word)
         after = np.empty_like(word)
         if len(word):
@@ -135,6 +156,7 @@ def chunks(text: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> It
             after[bounds[1:][bounds[1:] > 0] - 1] = False
         start = np.flatnonzero(word & ~before)
         end = np.flatnonzero(word & ~after) + 1
-        doc = np.searchsorted(bounds, start, "right") - 1
-        yield Chunk(i, j - i, LOWER[raw] if lower else raw, bounds, doc, start, end, raw)
+        first = np.searchsorted(start, bounds)
+        doc = np.repeat(np.arange(j - i), np.diff(first))
+        yield Chunk(i, j - i, raw | ((raw - np.uint8(65) < 26).view(np.uint8) << 5) if lower else raw, bounds, doc, start, end, raw)
         i = j
