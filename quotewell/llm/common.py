@@ -66,8 +66,8 @@ class Scratch:
             pass
 
 
-def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> list[tuple]:
-    """(key..., parts) of keys that hold more than a share of a partition; at most two a shuffle partition, whatever the size.
+def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = None, least: int = 64) -> list[tuple]:
+    """(key..., parts) of keys that hold more than a share of a partition, and than ``least`` rows; at most two a shuffle partition.
 
     ``counts`` may give the (key..., n) of all keys with more than one row.
     """
@@ -75,13 +75,13 @@ def hot_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = No
     n = 2 * partitions(spark)
     if counts is not None:
         top = counts.select(*keys, F.col("n").alias("__n")).orderBy(F.desc("__n")).limit(n).collect()
-        each = max(64, (counts.agg(F.sum("n")).first()[0] or 0) // (2 * n))
+        each = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // (2 * n))
         return [(*r[:-1], -(-r["__n"] // each)) for r in top if r["__n"] > each]
     top = left.where(F.concat(*[F.col(k).isNotNull().cast("string") for k in keys]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n")).limit(n).collect()
-    if not top or top[0]["__n"] <= 64:
+    if not top or top[0]["__n"] <= least:
         return []
     total = left.count()
-    each = max(64, total // (2 * n))
+    each = max(least, total // (2 * n))
     return [(*r[:-1], -(-r["__n"] // each)) for r in top if r["__n"] > each]
 
 

@@ -2,13 +2,19 @@
 
 A line is the set of its words. Words are ordered by rarity, from counts over all documents in ``BUCKETS`` hash buckets
 (equal counts by hash; any total order is right), and a line's rarest words, its prefix, are posted: lines similar enough
-share a word of their prefixes. Posted pairs pass the length filter, the positional filter (the words after the shared one
-can't make up the overlap) and the parity of hashed words (each difference changes one bit), and are verified on the full sets.
+share a word of their prefixes. Posted pairs pass the length filter, the positional filter (the words from the first shared one
+on can make up the overlap; a pair is found at that word) and the parity of hashed words (each difference changes one bit), and
+are verified on the full sets, read again from the texts.
 
 Lines of one set are one class, whose first line stands for it, so repeated lines are never paired. A line needs one similar line
-before it: a posting list gives each line an array of those that pass the filters, fewest differences first, the first of them is
-verified, and only lines that stay have the rest verified. Of lists longer than ``STAR``, and lists that are dealt out for their
-length, lines are compared with the earliest first, and only those that stay with all earlier ones.
+before it: a posting list gives each line one candidate, that of fewest differences, and says whether there may be more. Lines
+whose candidate fails, and that may have more, are then compared with all earlier lines of their lists, and their next candidates
+verified, a few first, until they go or have none left. Lists that are longer than ``STAR``, or dealt out for their length, give a
+candidate only from the list's first line and from neighbours of like size; their other pairs are left to that second pass. Pairs
+are compared ``_PAIRS`` at a time, whatever the length of a list, and never become rows but for the nearest of each line.
+
+Lines travel in blobs of numpy arrays, a row for each batch and bucket, and a task sees one bucket at a time: buckets follow the
+number of lines, about ``_LINES`` or ``_POSTINGS`` each.
 """
 
 from __future__ import annotations
@@ -23,21 +29,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, hot_keys, lookup_join, partitions
+from .common import Scratch, hot_keys, partitions
 from .neardup import _verified
 from .textscan import Chunk, chunks, mix
 
 #: Buckets of word counts, of the filters that say which documents and lines are read again, and the longest posting list
 #: whose pairs are all formed at once. Every line with a word takes part.
 BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 1
-#: Postings that are worked on at a time.
-_POSTINGS = 100_000
+#: Lines and postings of a bucket, pairs that are compared at a time, and neighbours that a line of a long list is compared with.
+_LINES, _POSTINGS, _PAIRS, _NEAR = 100_000, 400_000, 250_000, 8
+#: Candidates of a line that the first round of the second pass verifies; each further round takes eight times as many.
+_MOST = 8
+#: Lines that are sorted at a time, and lines of a document that make a row.
+_BLOCK, _PIECE = 4096, 1 << 20
 _SLICES = 64
 _LAST = np.iinfo(np.int64).max
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """The level of each bucket, 0 to 1023, rising with the number of its words in all documents."""
+    """The level of each bucket, 0 to 63, rising with the number of its words in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -56,128 +67,334 @@ def rarity(docs: DataFrame) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     for r in rows:
         total.reshape(_SLICES, -1)[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(1023, np.log2(total + 1.0) * 25).astype(np.uint16)
+    return np.minimum(63, 2 * np.log2(total + 1.0)).astype(np.uint8)
+
+
+def word_ranks(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """52 bits of each word: the level of its bucket, then its hash; a prefix word is posted under the lower 32."""
+    return (level[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(46)) | (h >> np.uint64(18))
 
 
 def line_sets(c: Chunk, level: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line with enough different words: document, number in it, and size; then all words' ranks, rarest first, line by line, and their starts."""
     ldoc, ls, _ = c.lines()
-    number = np.arange(len(ldoc)) - np.searchsorted(ldoc, ldoc)
-    line = np.searchsorted(ls, c.start, "right") - 1
-    h = c.hashes()
-    rank = (level[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10))
-    order = np.argsort(rank)
-    at = line[order]
-    order = order[np.argsort(at.astype(np.uint16) if len(ldoc) < 65536 else at, kind="stable")]
-    rank, line = rank[order], line[order]
-    new = np.r_[True, (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])] if len(rank) else np.zeros(0, bool)
-    rank, line = rank[new], line[new]
-    size = np.bincount(line, minlength=len(ldoc))
-    ok = size >= least_words
-    rank = rank[ok[line]]
+    number = np.arange(len(ldoc)) - np.searchsorted(ldoc, np.arange(c.n))[ldoc]
+    first = np.r_[np.searchsorted(c.start, ls), len(c.start)]
+    words = np.diff(first)
+    rank = word_ranks(c.hashes(), level)
+    ranks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(ls), _BLOCK):  # one sort by line and rank: twelve bits of line above the rank's 52
+        b = min(len(ls), a + _BLOCK)
+        x = rank[first[a] : first[b]] | (np.repeat(np.arange(b - a, dtype=np.uint64), words[a:b]) << np.uint64(52))
+        x.sort()
+        x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+        size = np.bincount((x >> np.uint64(52)).astype(np.int64), minlength=b - a)
+        if least_words > 1:
+            x = x[np.repeat(size >= least_words, size)]
+        ranks.append(x & np.uint64((1 << 52) - 1))
+        sizes.append(size)
+    size = np.concatenate(sizes)
+    ok = size >= max(1, least_words)
     size = size[ok]
-    return ldoc[ok], number[ok], size, rank, np.cumsum(size) - size
+    return ldoc[ok], number[ok], size, np.concatenate(ranks), np.cumsum(size) - size
 
 
 def set_hash(rank: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return mix(np.add.reduceat(mix(rank), start) + size.astype(np.uint64)).view(np.int64) if len(start) else np.zeros(0, np.int64)
+    x = rank * _ODD
+    x ^= x >> np.uint64(32)
+    return mix(np.add.reduceat(x, start) + size.astype(np.uint64)).view(np.int64) if len(start) else np.zeros(0, np.int64)
+
+
+def parities(rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line, flipped by each word."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bit = np.uint64(1) << (rank & np.uint64(63))
+    high = np.where(rank & np.uint64(64), bit, np.uint64(0))
+    return np.bitwise_xor.reduceat(bit ^ high, start).view(np.int64), np.bitwise_xor.reduceat(high, start).view(np.int64)
+
+
+def _blobs(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Values between bounds as binary rows."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of a blob column."""
+    if not len(column):
+        return np.zeros(0, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+
+
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions start to start + count of each, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _prefix(size: np.ndarray, tenths: int) -> np.ndarray:
+    """Words of a prefix; none where neither one word more nor another word leaves a line similar: it is only like its class."""
+    return np.where(10 * size >= tenths * (size + 1), size - -(-tenths * size // 10) + 1, 0)
+
+
+KINDS = {"line": np.int32, "fp": np.int64, "n": np.int32, "parity": np.int64, "parity2": np.int64}
 
 
 def _lines(docs: DataFrame, held, least_words: int, tenths: int) -> DataFrame:
-    """(d, rk, line, fp, n, parity, parity2, keys) of each line; keys are the words of the prefix, none if only equal lines are similar."""
+    """A row for each document with lines (and for each ``_PIECE`` of its lines): d, rk, piece, lines, and blobs of what ``KINDS`` names and of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch["text"], lower=True):
                 doc, number, size, rank, start = line_sets(c, held.value, least_words)
-                m = mix(rank)
-                at, high = np.uint64(1) << (m & np.uint64(63)), (m & np.uint64(64)) > 0
-                both = [np.bitwise_xor.reduceat(np.where(high == k, at, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for k in (False, True)]
-                # a line that neither one word more nor another word leaves similar is only like its equals, its class
-                prefix = np.where(10 * size >= tenths * (size + 1), size - -(-tenths * size // 10) + 1, 0)
-                pos = np.arange(len(rank)) - np.repeat(start, size)
-                keys = (m[pos < np.repeat(prefix, size)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(keys))
-                own = pa.array(c.first + doc)
-                yield pa.RecordBatch.from_arrays([batch["d"].take(own), batch["rk"].take(own), pa.array(number.astype(np.int32)), pa.array(set_hash(rank, start, size)), pa.array(size.astype(np.int32)), *map(pa.array, both), lists], ["d", "rk", "line", "fp", "n", "parity", "parity2", "keys"])
+                prefix = _prefix(size, tenths)
+                keys = rank[_ragged(start, prefix)].astype(np.uint32).view(np.int32)
+                piece = number // _PIECE
+                head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1])]) if len(doc) else doc
+                bounds = np.r_[head, len(doc)]
+                own = pa.array(c.first + doc[head])
+                one, two = parities(rank, start)
+                values = {"line": number.astype(np.int32), "fp": set_hash(rank, start, size), "n": size.astype(np.int32), "parity": one, "parity2": two}
+                yield pa.RecordBatch.from_arrays([batch["d"].take(own), batch["rk"].take(own), pa.array(piece[head].astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), *(_blobs(bounds, values[k]) for k in KINDS), _blobs(np.r_[0, np.cumsum(prefix)][bounds], keys)], ["d", "rk", "piece", "lines", *KINDS, "keys"])
+
+    return docs.select("d", "rk", "text").mapInArrow(run, f"d long, rk long, piece int, lines int, {', '.join(f'{k} binary' for k in KINDS)}, keys binary")
+
 
-    return docs.select("d", "rk", "text").mapInArrow(run, "d long, rk long, line int, fp long, n int, parity long, parity2 long, keys array<int>")
+def _numbered(n_buckets: int, tenths: int):
+    """Lines in order get ascending ids and go to the bucket of their set's hash; rows that repeat a document's key are one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = TaskContext.get().partitionId() << 40, None
+        for batch in batches:
+            rk, piece = np.asarray(batch["rk"]), np.asarray(batch["piece"])
+            if not len(rk):
+                continue
+            new = np.r_[(rk[0], piece[0]) != last, (rk[1:] != rk[:-1]) | (piece[1:] != piece[:-1])]
+            last = (rk[-1], piece[-1])
+            batch = batch.filter(pa.array(new))
+            values = {k: _flat(batch[k], kind) for k, kind in KINDS.items()}
+            values["rk"] = np.repeat(rk[new], np.asarray(batch["lines"]))
+            values["id"] = at + np.arange(len(values["fp"]))
+            at += len(values["fp"])
+            keys, prefix = _flat(batch["keys"], np.int32), _prefix(values["n"].astype(np.int64), tenths)
+            bucket = (values["fp"].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            bounds, ends = np.r_[head, len(bucket)], np.cumsum(prefix)
+            rows = _ragged((ends - prefix)[order], prefix[order])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), *(_blobs(bounds, values[k][order]) for k in LINE), _blobs(np.r_[0, np.cumsum(prefix[order])][bounds], keys[rows])], ["bucket", *LINE, "keys"])
+
+    return run
 
-def _pass(na, nb, pa_, pb, x, tenths: int):
-    """Differing parity bits of pairs, -1 for those that the length, positional or parity filter stops."""
-    need = -(-tenths * (na + nb) // (10 + tenths))
-    fits = (10 * np.minimum(na, nb) >= tenths * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need)
-    differ = sum(np.bitwise_count(w.view(np.uint64)).astype(np.int64) for w in x)
-    return np.where(fits & (differ <= na + nb - 2 * need), differ, -1)
 
+LINE = {"id": np.int64, "rk": np.int64, **KINDS}
+CLASSES = "id long, rk long, line int, fp long, n int, parity long, parity2 long, keys binary"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[dict[str, np.ndarray]]:
+    """The blobs of the one bucket that a task has, together."""
+    held = [[_flat(batch[k], kind) for k, kind in kinds.items()] for batch in batches]
+    if held and sum(len(x[0]) for x in held):
+        yield {k: np.concatenate(x) for k, x in zip(kinds, zip(*held, strict=True), strict=True)}
 
-def _candidates(tenths: int):
-    """Over postings sorted by (key, part, id): each line's earlier candidates as an array; the postings of long lists again."""
-
-    def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, part, ident, packed, *parity = cols
-        n, pos = packed >> 24, packed & ((1 << 24) - 1)
-        if not len(key):
-            return
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        length = np.diff(np.r_[start, len(key)])
-        long = np.repeat((length > STAR) | (part[start] >= 0), length)
-        first, end = np.repeat(start, length), np.repeat(start + length, length)
-        found = []
-
-        def offer(i: np.ndarray, j: np.ndarray) -> None:
-            differ = _pass(n[i], n[j], pos[i], pos[j], [w[i] ^ w[j] for w in parity], tenths)
-            ok = (differ >= 0) & (ident[i] != ident[j])  # two words of one line may share a key
-            if ok.any():
-                found.append((i[ok], j[ok], differ[ok]))
-
-        j = np.flatnonzero(long & (np.arange(len(key)) > first))
-        offer(first[j], j)
-        i, s = np.flatnonzero(~long), 0
-        while len(i):
-            s += 1
-            i = i[end[i] > i + s]
-            offer(i, i + s)
-        if found:
-            i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((i, differ, j))
-            i, j, differ = i[order], j[order], differ[order]
-            new = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(j)].astype(np.int32)), pa.array(ident[i]))
-            k = len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(ident[j[new]]), lists, pa.array(differ[new]), *(pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], schema=POSTED)
-        again = np.flatnonzero(long)
-        if len(again):
-            k = len(again)
-            yield pa.RecordBatch.from_arrays([pa.array(ident[again]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), *(pa.array(x[again]) for x in (key, packed, *parity))], schema=POSTED)
+
+def _classes(tenths: int):
+    """The first line of each set, and (rk, line) alone of the others, which go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
+        for v in _buckets(batches, LINE | {"keys": np.int32}):
+            order = np.lexsort((v["id"], v["fp"]))
+            fp = v["fp"][order]
+            new = np.r_[True, fp[1:] != fp[:-1]]
+            first, rest = np.sort(order[new]), order[~new]
+            prefix = _prefix(v["n"].astype(np.int64), tenths)
+            rows = _ragged((np.cumsum(prefix) - prefix)[first], prefix[first])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[k][first]) for k in LINE), _blobs(np.r_[0, np.cumsum(prefix[first])], v["keys"][rows])], [*LINE, "keys"])
+            if len(rest):
+                none = [pa.nulls(len(rest), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(v["rk"][rest]), pa.array(v["line"][rest]), *none[1:]], [*LINE, "keys"])
+
+    return run
+
+
+POSTING = {"key": np.int32, "part": np.int32, "id": np.int64, "packed": np.int64, "parity": np.int64, "parity2": np.int64}
+#: Of probes: the (differences, id) of the candidate that they were last compared with.
+PROBE = {"differ": np.int32, "after": np.int64}
+
+
+def _posted(hot: list[tuple], n_buckets: int, role: int = 3, asked=None):
+    """Postings of classes by bucket of (key, part); lines under a hot key are dealt over its parts.
+
+    ``role``: 1 for lines that others are compared with, 2 for those that are compared, 3 for both. With ``asked``, a filter of keys,
+    only such keys are posted. Probes (role 2) go to every part of a hot key.
+    """
+    hot = sorted(hot)
+    hot_key, hot_parts = np.array([k for k, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_key = np.unpackbits(asked.value).astype(bool) if asked else None
         for batch in batches:
-            held.append([np.asarray(c) for c in batch.columns])
-            rows += batch.num_rows
-            if rows < _POSTINGS:
+            ident, n = np.asarray(batch["id"]), np.asarray(batch["n"]).astype(np.int64)
+            key = _flat(batch["keys"], np.int32)
+            count = np.diff(np.frombuffer(batch["keys"].buffers()[1], np.int32)[batch["keys"].offset :][: len(n) + 1]) // 4 if len(n) else n
+            row = np.repeat(np.arange(len(n)), count)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            if asked:
+                ok = of_key[key.astype(np.int64) % FILTER]
+                key, row, pos = key[ok], row[ok], pos[ok]
+            part = np.full(len(key), -1, np.int64)
+            if len(hot):
+                i = np.minimum(np.searchsorted(hot_key, key), len(hot) - 1)
+                parts = np.where(hot_key[i] == key, hot_parts[i], 0)
+                if role == 2:
+                    each = np.repeat(np.arange(len(key)), np.maximum(parts, 1))
+                    part = np.where(parts[each] > 0, _ragged(np.zeros(len(key), np.int64), np.maximum(parts, 1)), -1)
+                    key, row, pos = key[each], row[each], pos[each]
+                else:
+                    own = (mix(ident[row].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+                    part = np.where(parts > 0, own, -1)
+            bucket = (mix(key.astype(np.int64).view(np.uint64) + part.view(np.uint64) * _ODD) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, row = bucket[order], row[order]
+            head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            bounds = np.r_[head, len(bucket)]
+            values = {"key": key[order], "part": part[order].astype(np.int32), "id": ident[row], "packed": (n[row] << 32) | (pos[order] << 2) | role, "parity": np.asarray(batch["parity"])[row], "parity2": np.asarray(batch["parity2"])[row]}
+            if asked:
+                values |= {k: np.asarray(batch[k])[row].astype(kind) if role == 2 else np.zeros(len(row), kind) for k, kind in PROBE.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), *(_blobs(bounds, x) for x in values.values())], ["bucket", *values])
+
+    return run
+
+
+class _Lists:
+    """The posting lists of a bucket: postings sorted by key, part, size and id."""
+
+    def __init__(self, v: dict[str, np.ndarray], tenths: int):
+        n = v["packed"] >> 32
+        order = np.lexsort((v["id"], n, v["part"], v["key"]))
+        self.tenths, self.n, self.id = tenths, n[order], v["id"][order]
+        self.key, self.part = v["key"][order], v["part"][order]
+        packed = v["packed"][order]
+        self.pos, self.role = (packed >> 2) & ((1 << 30) - 1), packed & 3
+        self.parity = [v["parity"][order], v["parity2"][order]]
+        self.probe = {k: v[k][order] for k in PROBE if k in v}
+        self.start = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.part[1:] != self.part[:-1])])
+        self.length = np.diff(np.r_[self.start, len(self.key)])
+        self.list = np.repeat(np.arange(len(self.start)), self.length)
+
+    def reach(self, least: np.ndarray, side: str) -> np.ndarray:
+        """Of each posting, where sizes of ``least`` begin (left) or end (right) in its list."""
+        most = int(self.n.max()) + 1
+        at = self.list * (most + 1) + self.n
+        return np.searchsorted(at, self.list * (most + 1) + np.minimum(least, most), side)
+
+    def passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(earlier, later, differing parity bits) of the pairs that pass the length, positional and parity filters."""
+        t, n = self.tenths, self.n
+        need = -(-t * (n[i] + n[j]) // (10 + t))
+        ok = (10 * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & (np.minimum(n[i] - self.pos[i], n[j] - self.pos[j]) >= need) & (self.id[i] != self.id[j])
+        i, j, need = i[ok], j[ok], need[ok]
+        differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in self.parity)
+        ok = differ <= n[i] + n[j] - 2 * need
+        i, j = i[ok], j[ok]
+        earlier = self.id[i] < self.id[j]
+        return np.where(earlier, i, j), np.where(earlier, j, i), differ[ok]
+
+    def pairs(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each posting ``at`` with those from low to high, ``_PAIRS`` at a time."""
+        count = np.maximum(high - low, 0)
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        while len(at):
+            ends = np.cumsum(count)
+            k = int(np.searchsorted(ends, _PAIRS, "right"))
+            if k == 0:  # one posting has more
+                yield np.full(_PAIRS, at[0]), low[0] + np.arange(_PAIRS)
+                low[0] += _PAIRS
+                count[0] -= _PAIRS
                 continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = rows - int(((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])).sum())
-            yield from work([c[:cut] for c in cols])
-            held = [[c[cut:] for c in cols]]  # a list that may go on: at most a part of a hot key's lines
-            rows -= cut
-        if rows:
-            yield from work([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield np.repeat(at[:k], count[:k]), _ragged(low[:k], count[:k])
+            at, low, count = at[k:], low[k:], count[k:]
+
+
+def _candidates(tenths: int):
+    """(b, a, differ, more): a line's best earlier candidate in a bucket, and whether there may be others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in _buckets(batches, POSTING):
+            x = _Lists(v, tenths)
+            rows = np.arange(len(x.id))
+            long = ((x.length > STAR) | (x.part[x.start] >= 0))[x.list]
+            # the smaller line of a pair leads, and shares a word among its rarest ones
+            leads = x.n - x.pos >= -(-2 * tenths * x.n // (10 + tenths))
+            high = x.reach(10 * x.n // tenths, "right")
+            high = np.where(long, np.minimum(high, rows + 1 + _NEAR), high)
+            at = rows[leads]
+            best, many = np.full(len(x.id), _LAST), np.zeros(len(x.id), bool)
+
+            def offer(i: np.ndarray, j: np.ndarray) -> None:
+                a, b, differ = x.passing(i, j)
+                seen = best[b] < _LAST
+                np.minimum.at(best, b, (differ << 40) | a)
+                many[b[seen]] = True
+                order = np.sort(b)
+                many[order[1:][order[1:] == order[:-1]]] = True
+
+            for i, j in x.pairs(at, at + 1, high[leads]):
+                offer(i, j)
+            if long.any():
+                first = np.lexsort((x.id, x.list))[x.start]
+                j = rows[long]
+                offer(first[x.list[j]], j)
+            many |= long
+            b = np.flatnonzero((best < _LAST) | many)
+            a = best[b]
+            none = a == _LAST
+            yield pa.RecordBatch.from_arrays([pa.array(x.id[b]), pa.array(x.id[np.where(none, 0, a & ((1 << 40) - 1))], mask=none), pa.array(np.where(none, 0, a >> 40), mask=none), pa.array(many[b])], ["b", "a", "differ", "more"])
 
     return run
 
 
-POSTED = pa.schema([("b", pa.int64()), ("before", pa.list_(pa.int64())), ("differ", pa.int64()), ("key", pa.int32()), ("packed", pa.int64()), ("parity", pa.int64()), ("parity2", pa.int64())])
+def _next_candidates(tenths: int, most: int):
+    """(b, a, differ): of each probe and list, the next ``most`` earlier candidates after its last, by (differ, a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in _buckets(batches, POSTING | PROBE):
+            x = _Lists(v, tenths)
+            low, high = x.reach(-(-tenths * x.n // 10), "left"), x.reach(10 * x.n // tenths, "right")
+            at = np.flatnonzero(x.role == 2)
+            held = [np.zeros(0, np.int64)] * 3
+
+            def rows(keep: np.ndarray) -> pa.RecordBatch:
+                a, b, differ = (y[keep] for y in held)  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(x.id[b]), pa.array(x.id[a]), pa.array(differ)], ["b", "a", "differ"])  # noqa: B023
+
+            for i, j in x.pairs(at, low[at], high[at]):
+                ok = (x.id[j] < x.id[i]) & (x.role[j] == 1)
+                a, b, differ = x.passing(i[ok], j[ok])
+                last = x.probe["differ"][b]
+                new = (differ > last) | ((differ == last) & (x.id[a] > x.probe["after"][b]))
+                a, b, differ = (np.r_[y, z[new]] for y, z in zip(held, (a, b, differ), strict=True))
+                order = np.lexsort((x.id[a], differ, b))
+                a, b, differ = a[order], b[order], differ[order]
+                rank = np.arange(len(b)) - np.searchsorted(b, b)
+                held = [y[rank < most] for y in (a, b, differ)]
+                open_ = held[1] == i[-1]  # pairs come probe by probe
+                if not open_.all():
+                    yield rows(~open_)
+                    held = [y[open_] for y in held]
+            if len(held[0]):
+                yield rows(np.ones(len(held[0]), bool))
+
+    return run
 
 
 def _bits(df: DataFrame, column: str) -> np.ndarray:
-    """Which of ``FILTER`` buckets of a long column are in use; at most so many rows reach the driver."""
+    """Which of ``FILTER`` buckets of a whole number are in use; at most so many rows reach the driver."""
     bits = np.zeros(FILTER, bool)
-    bits[df.select(F.pmod(F.col(column), F.lit(FILTER)).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
+    bits[df.select(F.pmod(F.col(column).cast("long"), F.lit(FILTER)).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
     return np.packbits(bits)
 
 
@@ -194,63 +411,68 @@ def _sets(docs: DataFrame, wanted: DataFrame, held, least_words: int) -> DataFra
                 _, _, size, rank, start = line_sets(c, held.value, least_words)
                 fp = set_hash(rank, start, size)
                 at = np.flatnonzero(line_bits[fp % FILTER])
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array([rank[s : s + n].tobytes() for s, n in zip(start[at], size[at], strict=True)], pa.binary())], ["hash", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), _blobs(np.r_[0, np.cumsum(size[at])], rank[_ragged(start[at], size[at])])], ["hash", "items"])
 
     sets = docs.select("rk", "text").mapInArrow(run, "hash long, items binary")
     return wanted.select(F.col("id").alias("fp"), "hash").join(sets.dropDuplicates(["hash"]), "hash").select("fp", "items")
 
 
-def _resolve(first: DataFrame, rest: Callable[[DataFrame], DataFrame], classes: DataFrame, docs: DataFrame, held, scratch: Scratch, least_words: int, tenths: int) -> DataFrame:
-    """(v): the later lines of pairs (a, b) that are similar; ``first`` has a pair a line, rest(resolved) what is left to try."""
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b")
-        wanted = scratch.save(pairs.selectExpr("explode(array(a, b)) id").distinct().join(classes.selectExpr("id", "rk", "fp hash"), "id"), "wanted")
-        sets = scratch.save(_sets(docs, wanted, held, least_words), "sets")
-        return scratch.save(_verified(pairs, sets, tenths / 10).select("v").distinct(), "resolved")
-
-    early = verified(first)
-    left = scratch.save(rest(early).join(first, ["a", "b"], "left_anti"), "rest")
-    return early.union(verified(left)) if left.take(1) else early
-
-
 def duplicate_lines(keyed: DataFrame, scratch: Scratch, least_words: int = MIN_WORDS, tenths: int = 8) -> DataFrame:
     """(rk, removed): the numbers of the lines that go, for documents (d, rk, text) that lose any."""
-    spark = keyed.sparkSession
+    spark, n = keyed.sparkSession, partitions(keyed.sparkSession)
     held = spark.sparkContext.broadcast(rarity(keyed))
     lines = scratch.save(_lines(keyed, held, least_words, tenths), "lines")
-    firsts = lines.groupBy("fp").agg(F.min(F.struct("d", "rk", "line", "n", "parity", "parity2", "keys")).alias("x"), F.count(F.lit(1)).alias("times"))
-    # ids ascend with (d, rk, line): partitions are ranges, and so are the ids that Spark gives their rows
-    ranged = firsts.select("fp", "times", "x.*").repartitionByRange(partitions(spark), "d", "rk", "line").sortWithinPartitions("d", "rk", "line")
-    classes = scratch.save(ranged.withColumn("id", F.monotonically_increasing_id()), "classes")
-    occurrences = scratch.save(lines.select("rk", "line", "fp"), "occurrences")
-    del firsts, ranged
+    n_lines = max(n, -(-(lines.agg(F.sum("lines")).first()[0] or 0) // _LINES))
+    ordered = lines.repartitionByRange(n, "d", "rk", "piece").sortWithinPartitions("d", "rk", "piece")
+    blobs = ", ".join(f"{k} binary" for k in LINE)
+    dealt = ordered.mapInArrow(_numbered(n_lines, tenths), f"bucket int, {blobs}, keys binary").repartitionById(n_lines, "bucket")
+    known = scratch.save(dealt.mapInArrow(_classes(tenths), CLASSES), "classes")
     scratch.forget(lines)
-    posted = classes.select("id", "n", "parity", "parity2", F.posexplode("keys").alias("pos", "key"))
-    lot = F.pmod(F.xxhash64("id"), F.lit(16)) == 0
-    hot = hot_keys(classes.where(lot).select(F.explode("keys").alias("key")), ["key"])
-    parts = F.broadcast(spark.createDataFrame(hot, "key int, parts long"))
-    dealt = posted.join(parts, "key", "left").selectExpr("key", "cast(coalesce(pmod(xxhash64(id), parts), -1) as int) part", "id", "shiftleft(cast(n as bigint), 24) + pos packed", "parity", "parity2")
-    dealt = dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "id")
-    found = scratch.save(dealt.mapInArrow(_candidates(tenths), "b long, before array<long>, differ long, key int, packed long, parity long, parity2 long"), "found")
-    some = found.where("before is not null")
-    first = scratch.save(some.groupBy("b").agg(F.min_by(F.col("before")[0], "differ").alias("a")).select("a", "b"), "first")
-    resolved = _resolve(first, lambda done: some.join(done.selectExpr("v b"), "b", "left_anti").select(F.explode("before").alias("a"), "b").distinct(), classes, keyed, held, scratch, least_words, tenths)
-    long = found.where("before is null")
-    if long.take(1):
-        # the lines of long lists that stay, against all earlier lines of those lists
-        probes = long.selectExpr("b", "key", "shiftright(packed, 24) nb", "packed % 16777216 pb", "parity xb", "parity2 yb").join(resolved.selectExpr("v b"), "b", "left_anti")
-        need = f"((10 + {tenths} - 1 + {tenths} * (na + nb)) div (10 + {tenths}))"
-        close = F.expr(f"a < b and 10 * least(na, nb) >= {tenths} * greatest(na, nb) and least(pa, pb) + least(na - pa, nb - pb) >= {need} and bit_count(xa ^ xb) + bit_count(ya ^ yb) <= na + nb - 2 * {need}")
-        more = scratch.save(probes.join(long.selectExpr("b a", "key", "shiftright(packed, 24) na", "packed % 16777216 pa", "parity xa", "parity2 ya"), "key").where(close).groupBy("a", "b").agg(F.min(F.expr("bit_count(xa ^ xb) + bit_count(ya ^ yb)")).alias("differ")), "more")
-        if more.take(1):
-            first = scratch.save(more.groupBy("b").agg(F.min_by("a", "differ").alias("a")).select("a", "b"), "first")
-            resolved = resolved.union(_resolve(first, lambda done: more.join(done.selectExpr("v b"), "b", "left_anti").select("a", "b"), classes, keyed, held, scratch, least_words, tenths))
-    resolved = resolved.distinct().selectExpr("v id", "true gone")
-    bad = classes.select("id", "fp", F.col("rk").alias("rk1"), F.col("line").alias("line1"), F.col("times").alias("n")).join(resolved, "id", "left").where("gone or n > 1")
-    bad = scratch.save(bad.selectExpr("fp", "rk1", "line1", "n", "coalesce(gone, false) gone"), "bad")
-    removed = lookup_join(occurrences, bad, ["fp"], "inner", bad).where("gone or rk <> rk1 or line <> line1")
-    return scratch.save(removed.groupBy("rk").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    classes = known.where("id is not null")
+    posts = F.when(10 * F.col("n") >= tenths * (F.col("n") + 1), F.col("n") - F.ceil(F.lit(tenths) * F.col("n") / 10) + 1).otherwise(0)
+    n_posts = max(n, -(-(classes.agg(F.sum(posts)).first()[0] or 0) // _POSTINGS))
+
+    def keys_of(df: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_flat(batch["keys"], np.int32))], ["key"])
+
+        return df.select("keys").mapInArrow(run, "key int")
+
+    def by_bucket(posted: list[tuple], kinds: dict[str, type], work: Callable, kind: str) -> DataFrame:
+        blobs = None
+        for df, how in posted:
+            own = df.mapInArrow(how, f"bucket int, {', '.join(f'{k} binary' for k in kinds)}")
+            blobs = own if blobs is None else blobs.union(own)
+        return blobs.repartitionById(n_posts, "bucket").mapInArrow(work, kind)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.save(pairs.selectExpr("explode(array(a, b)) id").distinct().join(classes.selectExpr("id", "rk", "fp hash"), "id"), "wanted")
+        sets = scratch.save(_sets(keyed, wanted, held, least_words), "sets")
+        return scratch.save(_verified(pairs, sets, tenths / 10).select(F.col("v").alias("id")).distinct(), "resolved")
+
+    # the keys of a sixteenth of the lines plan the dealing; they decide no pair
+    hot = hot_keys(keys_of(classes.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)), ["key"], least=STAR // 16)
+    posting = classes.select("id", "n", "parity", "parity2", "keys")
+    found = by_bucket([(posting, _posted(hot, n_posts))], POSTING, _candidates(tenths), "b long, a long, differ long, more boolean")
+    first = scratch.save(found.groupBy("b").agg(F.min_by("a", "differ").alias("a"), (F.max("more") | F.coalesce(F.min("a") < F.max("a"), F.lit(False))).alias("more")), "first")
+    resolved = verified(first.where("a is not null").select("a", "b"))
+    left = first.where("more").join(resolved.selectExpr("id b"), "b", "left_anti").selectExpr("b id", "-1 differ", "0L after")
+    most = _MOST
+    while (left := scratch.save(left, "left")).take(1):
+        # a round compares each line with its next candidates, more of them each time, until it goes or has none left
+        probes = scratch.save(posting.join(left, "id"), "probes")
+        asked = spark.sparkContext.broadcast(_bits(keys_of(probes), "key"))
+        both = [(posting, _posted(hot, n_posts, 1, asked)), (probes, _posted(hot, n_posts, 2, asked))]
+        found = by_bucket(both, POSTING | PROBE, _next_candidates(tenths, most), "b long, a long, differ long")
+        nearest = F.slice(F.sort_array(F.collect_set(F.struct(F.col("differ").cast("int").alias("differ"), "a"))), 1, most)
+        tried = scratch.save(found.groupBy("b").agg(nearest.alias("next")), "tried")
+        done = verified(tried.selectExpr("b", "explode(next) x").select("x.a", "b"))
+        resolved = resolved.union(done)
+        left = tried.where(F.size("next") == most).selectExpr("b id", "element_at(next, -1) x").join(done, "id", "left_anti").selectExpr("id", "x.differ", "x.a after")
+        most *= 8
+    gone = classes.select("id", "rk", "line").join(resolved, "id", "left_semi").select("rk", "line").union(known.where("id is null").select("rk", "line"))
+    return scratch.save(gone.groupBy("rk").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORDS) -> DataFrame:
@@ -259,9 +481,11 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORD
     Lines come in the order of doc_id, null last, and their place in the text. A line goes if an earlier one, removed or not,
     has a Jaccard similarity of ``least`` (in tenths) or more on its words, lower-cased in A-Z; lines without a word, or
     of fewer than ``least_words`` different ones, stay. Null texts stay null with one line. Rows that repeat doc_id and text count as one document.
+    Columns n_lines and removed of ``docs`` itself give way to those.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
+    docs = docs.drop("n_lines", "removed")
     rk = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("d"), rk.alias("rk"), "text")
     removed = duplicate_lines(keyed, scratch, least_words, round(10 * least))
@@ -269,11 +493,16 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORD
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
 
+    def counted(batch: pa.RecordBatch, text: pa.Array, gone: pa.Array) -> pa.RecordBatch:
+        lines = pc.add(pc.fill_null(pc.count_substring(batch["text"], "\n"), 0).cast(pa.int64()), 1)
+        return pa.RecordBatch.from_arrays([*(text if n == "text" else batch[n] for n in names), lines, gone], [*names, "n_lines", "removed"])
+
     def part(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lost = np.unpackbits(held.value).astype(bool)
             for batch in batches:
-                yield batch.filter(pa.array(lost[np.asarray(batch["__rk"]) % FILTER] == wanted))
+                batch = batch.filter(pa.array(lost[np.asarray(batch["__rk"]) % FILTER] == wanted))
+                yield batch if wanted else counted(batch, batch["text"], pa.nulls(batch.num_rows, pa.list_(pa.int32())))
 
         return run
 
@@ -286,11 +515,10 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORD
                     g = set(gone[i].as_py())
                     texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in g])
                 text = pa.array(texts, pa.string())
-            lines = pc.add(pc.fill_null(pc.count_substring(batch["text"], "\n"), 0).cast(pa.int64()), 1)
-            yield pa.RecordBatch.from_arrays([*(text if n == "text" else batch[n] for n in names), lines, gone], [*names, "n_lines", "removed"])
+            yield counted(batch, text, gone)
 
     # only documents that lose lines, and a few whose bits clash with theirs, are shuffled
     whole = docs.withColumn("__rk", rk)
-    same = whole.mapInArrow(part(False), whole.schema).drop("__rk").withColumn("__removed", F.lit(None).cast("array<int>"))
+    same = whole.mapInArrow(part(False), schema)
     hit = whole.mapInArrow(part(True), whole.schema).join(removed.selectExpr("rk __rk", "removed __removed"), "__rk", "left").select(*names, "__removed")
-    return same.union(hit).mapInArrow(rebuild, schema)
+    return same.union(hit.mapInArrow(rebuild, schema))

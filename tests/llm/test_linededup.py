@@ -62,7 +62,7 @@ def test_words_of_one_key_in_a_line(spark):
     words = [f"w{i}" for i in range(200_000)]
     c = next(linededup.chunks(linededup.pa.array([" ".join(words)])))
     rank = (np.uint64(25) << np.uint64(54)) | (c.hashes() >> np.uint64(10))
-    key = linededup.mix(rank) >> np.uint64(32)
+    key = linededup.word_ranks(c.hashes(), np.zeros(linededup.BUCKETS, np.uint8)).astype(np.uint32)
     order = np.argsort(key, kind="stable")
     at = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     assert len(at)
@@ -72,7 +72,8 @@ def test_words_of_one_key_in_a_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     held = spark.sparkContext.broadcast(linededup.rarity(docs))
     lines = linededup._lines(docs.selectExpr("doc_id d", "doc_id rk", "text"), held, 5, 8).collect()
-    assert any(len(set(r["keys"])) < len(r["keys"]) for r in lines)
+    keys = [np.frombuffer(r["keys"], np.int32) for r in lines]
+    assert any(len(set(k)) < len(k) for k in keys[:3])
     got = sorted(((r.doc_id, r.text, r.n_lines, r.removed) for r in linededup.dedup_lines(docs).collect()), key=str)
     assert got == brute(rows, linededup.MIN_WORDS)
 
@@ -87,3 +88,44 @@ def test_short_lines(spark, tenths):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.text, r.n_lines, r.removed) for r in linededup.dedup_lines(docs, tenths / 10).collect()), key=str)
     assert got == brute(rows, 1, tenths)
+
+
+def alike_rows():
+    rng = random.Random(5)
+    words = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(3000):  # one template: each line has two to four words of its own, and few lines are similar to the first
+        own = list(words)
+        for k in rng.sample(range(40), rng.choice([2, 3, 4, 4, 4])):
+            own[k] = f"o{i}x{k}" if rng.random() < 0.5 else f"o{i // 100}x{k}"
+        rows.append((i, " ".join(own)))
+    return rows + [(5000 + i, " ".join([*words[:20], *(f"z{i}y{k}" for k in range(20))])) for i in range(50)]
+
+
+@pytest.mark.parametrize("star", [4096, 50])
+def test_many_alike_lines(spark, monkeypatch, star):
+    monkeypatch.setattr(linededup, "STAR", star)
+    monkeypatch.setattr(linededup, "_POSTINGS", 20_000)
+    rows = alike_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.removed for r in linededup.dedup_lines(docs).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    size = np.array([len(w) for w in sets])
+    held = {w: k for k, w in enumerate(sorted(set().union(*sets)))}
+    grid = np.zeros((len(sets), len(held)), np.float32)
+    for i, w in enumerate(sets):
+        grid[i, [held[x] for x in w]] = 1
+    both = grid @ grid.T
+    near = np.tril(10 * both >= 8 * (size[:, None] + size - both), -1).any(1)
+    assert got == {d: [0] if near[i] else None for i, (d, _) in enumerate(rows)}
+    assert 0 < near.sum() < len(rows)
+
+
+def test_columns_of_the_same_names_and_a_very_long_text(spark):
+    long = "\n".join(" ".join(f"q{i}{j}" for j in range(9)) for i in range(30_000)) + "\n" + " ".join(f"w{j}" for j in range(50_000))
+    rows = [(1, long, "x", [1]), (2, long.split("\n")[7] + "\nnew", "y", None), (3, long.split("\n")[-1], "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, removed array<int>")
+    found = linededup.dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "n_lines", "removed"]
+    got = {r.doc_id: (r.text, r.n_lines, r.removed) for r in found.collect()}
+    assert got == {1: (long, 30_001, None), 2: ("new", 2, [0]), 3: ("", 1, [0])}
