@@ -3,7 +3,8 @@
 All n-grams of several lengths are hashed by prefix sums over the words' hashes; a word of an n-gram that stood earlier in the
 text is covered, and a rule compares the characters of covered words with those of all words. With ``first_too``, as in op4_quality,
 the first copy's words are covered as well: passages that occur twice then count in full, which later copies alone only do to a
-half, where the base rule rejects already. On prose most texts beyond the base rule still fail by the plain rule on symbols.
+half, where the base rule rejects already. The verdict is of the base rule and of repetition alone; ``symbol_limit`` adds, where it
+is given, a plain rule on the share of words with a symbol.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from .textscan import Chunk, chunks, mix, rolling, span_hash
 #: The largest share of characters in repeated n-grams of so many words, and in repeated lines.
 NGRAM_LIMITS = {5: 0.25, 7: 0.24, 10: 0.23}
 LINE_LIMIT = 0.30
-#: Symbols that base counts; texts with more than this share of words with a symbol fail.
+#: Symbols that base counts.
 SYMBOLS = b"#*$%&|<>"
-SYMBOL_LIMIT = 0.10
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, dup_ngram_chars array<long>, base_failed boolean, kept boolean"
 
@@ -87,7 +87,7 @@ def measure(c: Chunk, ngrams: tuple[int, ...], first_too: bool = False) -> dict[
     return out
 
 
-def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT, first_too: bool = False) -> DataFrame:
+def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float | None = None, first_too: bool = False) -> DataFrame:
     """A row a document with its measures and the verdict ``kept``; ``first_too`` counts the first copies of n-grams with the later.
 
     Null and empty texts have no words and fail the base rule; rows with equal or null doc_id are judged each by itself.
@@ -99,7 +99,9 @@ def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, li
             for c in chunks(batch["text"]):
                 m = measure(c, tuple(limits), first_too)
                 base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-                bad = base | (m["dup_line_chars"] > line_limit * m["word_chars"]) | (m["symbol_words"] > symbol_limit * m["n_words"])
+                bad = base | (m["dup_line_chars"] > line_limit * m["word_chars"])
+                if symbol_limit is not None:
+                    bad |= m["symbol_words"] > symbol_limit * m["n_words"]
                 for i, limit in enumerate(limits.values()):
                     bad |= m["dup_ngram_chars"][:, i] > limit * m["word_chars"]
                 grams = pa.ListArray.from_arrays(np.arange(c.n + 1, dtype=np.int32) * len(limits), m["dup_ngram_chars"].ravel())

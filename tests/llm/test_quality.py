@@ -42,10 +42,13 @@ def test_measures_match_brute_force(spark):
         line = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randint(3, 25))) for _ in range(8)]
         texts.append("\n".join(rng.choice(line) for _ in range(rng.randint(1, 9))))
     docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, kept boolean")
-    got = {r.doc_id: tuple(r)[1:] for r in quality.repetition(docs).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in quality.repetition(docs, symbol_limit=0.10).collect()}
+    plain = {r.doc_id: r for r in quality.repetition(docs).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute(t), (i, t)
-    assert sum(r[-1] for r in got.values()) > 5
+        # without the rule on symbols only repetition decides beyond the base rule
+        assert plain[i].kept == (not plain[i].base_failed and plain[i].dup_line_chars <= 0.30 * plain[i].word_chars and all(c <= lim * plain[i].word_chars for c, lim in zip(plain[i].dup_ngram_chars, (0.25, 0.24, 0.23))))
+    assert sum(r[-1] for r in got.values()) > 5 and sum(r.kept for r in plain.values()) > sum(r[-1] for r in got.values())
     assert quality.repetition(docs.limit(0)).count() == 0
 
 
