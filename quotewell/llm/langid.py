@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The counts of training are summed by Spark; the matrix of log probabilities (languages x buckets, bounded) is broadcast, and
-batches are scored as sparse counts in numpy.
+The counts of training are summed by Spark; the matrix of log probabilities (languages x buckets) is broadcast, and
+batches are scored as sparse counts in numpy, a few languages at a time, however many were learned.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of hashed n-grams, lengths of n-grams, labelled rows that are learned from (about; by the hash of doc_id), and
-#: languages at most.
-BUCKETS, LENGTHS, MAX_TRAIN, MAX_LANGS = 1 << 16, (1, 2, 3), 20_000, 512
+#: languages that are scored at a time. The matrix takes 256 KB a language.
+BUCKETS, LENGTHS, MAX_TRAIN, LANG_BLOCK = 1 << 16, (1, 2, 3), 20_000, 16
 #: n-grams' worth of evidence at most in a score: neighbours depend on each other.
 EVIDENCE = 60
 _CHARS = 1 << 18
@@ -110,19 +110,21 @@ def train(docs: DataFrame, most: int = MAX_TRAIN, smoothing: float = 0.5) -> Mod
 
     counted = rows.select("text", "lang").mapInArrow(run, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted["lang"].to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} fit the broadcast")
-    matrix, prior = np.full((BUCKETS, len(langs)), smoothing), np.zeros(len(langs))
+    # the training sample bounds these rows; the matrix is filled a language at a time
     where = np.searchsorted(np.array(langs, object), np.array(counted["lang"].to_pylist(), object)) if langs else np.zeros(0, int)
-    bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
-    doc = bucket < 0
-    prior[where[doc]] = n[doc]
-    matrix[bucket[~doc], where[~doc]] += n[~doc]
-    if not langs:
-        return Model(langs, matrix, prior, prior)
-    log_prob, own = np.log(matrix / matrix.sum(0)), matrix - smoothing
-    known = (own * log_prob).sum(0) / np.maximum(own.sum(0), 1)
-    return Model(langs, log_prob.astype(np.float32), np.log(prior / prior.sum()), (known + np.log(smoothing / matrix.sum(0))) / 2)
+    order = np.argsort(where, kind="stable")
+    bucket, n, cuts = counted["bucket"].to_numpy()[order], counted["n"].to_numpy()[order], np.searchsorted(where[order], np.arange(len(langs) + 1))
+    log_prob, prior, least_fit = np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs)), np.zeros(len(langs))
+    for k in range(len(langs)):
+        own = slice(cuts[k], cuts[k + 1])
+        doc = bucket[own] < 0
+        prior[k] = n[own][doc].sum()
+        counts = np.zeros(BUCKETS)
+        counts[bucket[own][~doc]] = n[own][~doc]
+        logs = np.log((counts + smoothing) / (counts + smoothing).sum())
+        log_prob[:, k] = logs
+        least_fit[k] = ((counts * logs).sum() / max(counts.sum(), 1) + np.log(smoothing / (counts + smoothing).sum())) / 2
+    return Model(langs, log_prob, np.log(prior / prior.sum()) if langs else prior, least_fit)
 
 
 def score_texts(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
@@ -133,10 +135,10 @@ def _scored(model: Model, texts: list) -> tuple[list[str], np.ndarray, np.ndarra
     """Language, score, and whether the text is more like the language's training sample than like n-grams never seen."""
     doc, bucket, count, n_letters = grams(texts)
     out = np.zeros((len(texts), len(model.langs)))
-    each = model.log_prob[bucket] * count[:, None]
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    if len(starts):
-        out[doc[starts]] = np.add.reduceat(each.astype(np.float64), starts, axis=0)
+    for at in range(0, len(model.langs) if len(starts) else 0, LANG_BLOCK):
+        each = model.log_prob[bucket, at : at + LANG_BLOCK] * count[:, None]
+        out[doc[starts], at : at + LANG_BLOCK] = np.add.reduceat(each.astype(np.float64), starts, axis=0)
     total = np.bincount(doc, weights=count, minlength=len(texts))
     mean = out / np.maximum(total, 1)[:, None]
     out = out * (np.minimum(total, EVIDENCE) / np.maximum(total, 1))[:, None] + model.prior

@@ -50,6 +50,24 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_many_languages_and_counts_match_plain_ones(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(30)) + f" {chr(0x4E00 + i % 600) * 20}", f"l{i % 600:03d}", 1) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fits int").repartition(4)
+    model = langid.train(docs)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert model.langs == sorted({r[2] for r in learned}) and len(model.langs) > 512
+    lang = model.langs[300]
+    counts = np.zeros(langid.BUCKETS)
+    for _, t, own, _ in learned:
+        if own == lang:
+            _, bucket, count, _ = langid.grams([t])
+            np.add.at(counts, bucket, count)
+    assert np.abs(model.log_prob[:, 300] - np.log((counts + 0.5) / (counts + 0.5).sum())).max() < 1e-5
+    got = langid.identify(docs, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 600:03d}" for r in got) > 0.95 * len([r for r in rows if r[2] in model.langs])
+
+
 def test_factorization_learns_a_pair_that_weights_alone_miss():
     rng = np.random.default_rng(3)
     rows, labels = [], []
