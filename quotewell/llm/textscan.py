@@ -60,11 +60,12 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         out[at] = mix((out[at] ^ (eight[starts[at] + done] & _KEPT[np.minimum(size[at] - done, 8)])) * _P)
         at = at[size[at] > done + 8]
     if len(at):
-        out[at] = _long_hash(buf, starts[at], ends[at])
+        out[at] = byte_hash(buf, starts[at], ends[at])
     return out
 
 
-def _long_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same by prefix sums of bytes: slower, and not dependent on how long a span is."""
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .textscan import NOT_LETTER, chunks, mix, span_hash
+from .textscan import NOT_LETTER, byte_hash, chunks, mix
 
 #: Hash buckets, chosen terms, rows of either label that are learned from (about; by the hash of doc_id), least labelled rows
 #: with a term.
@@ -28,11 +28,11 @@ FACTORS, EPOCHS, RATE, DECAY = 8, 40, 0.1, 2e-4
 def terms(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, document, bucket) of each distinct term of whole texts; null and empty texts have none."""
     for c in chunks(text, lower=True, space=NOT_LETTER):
-        parts = [c.hashes()]
+        parts = [byte_hash(c.buf, c.start, c.end)]
         docs = [c.doc]
         for n in PREFIXES:
             long = c.end - c.start > n
-            parts.append(mix(span_hash(c.buf, c.start[long], c.start[long] + n) + np.uint64(n)))
+            parts.append(mix(byte_hash(c.buf, c.start[long], c.start[long] + n) + np.uint64(n)))
             docs.append(c.doc[long])
         bucket = np.concatenate(parts) >> np.uint64(44)
         key = np.unique(np.concatenate(docs).astype(np.uint64) * np.uint64(BUCKETS) + bucket)
@@ -128,8 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
                 yield pa.RecordBatch.from_arrays([batch["toxic"].slice(first, n), pa.array([term[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["toxic", "terms"])
 
     # at most about sum(max_rows) rows of 2 * TERMS bytes
-    found = sample.mapInArrow(pick, "toxic int, terms binary").orderBy("toxic", "terms").toArrow()
-    bias, w, v = fit([np.frombuffer(t, "<u2") for t in found["terms"].to_pylist()], found["toxic"].to_numpy().astype(float), len(chosen))
+    found = sample.mapInArrow(pick, "toxic int, terms binary").toArrow()
+    rows = sorted(zip(found["toxic"].to_pylist(), found["terms"].to_pylist(), strict=True))  # the order of tasks must not matter
+    bias, w, v = fit([np.frombuffer(t, "<u2") for _, t in rows], np.array([float(k) for k, _ in rows]), len(chosen))
     return Machine(place, float(bias), w, v)
 
 
