@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder.of(tokenizer)
         width = 2 if len(encoder.last) <= 1 << 16 and end_id < 1 << 16 else 4
-        end = np.asarray([end_id], f"<u{width}").tobytes()
+        end = np.asarray([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         file = f"{root}/shard-{part:06d}-{uuid.uuid4().hex}"
         fs, path = open_fs(file + ".bin")
@@ -155,9 +155,10 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) ->
                 null.append(np.asarray(key.is_null()))
                 ids.append(np.asarray(key.fill_null(0)))
                 for at in range(0, batch.num_rows, 128):
-                    for data in encoder.encode_all(batch["text"].slice(at, 128).to_pylist()):
-                        lengths.append(len(data) // 4 + 1)
-                        out.write((np.frombuffer(data, "<u4").astype("<u2").tobytes() if width == 2 else data) + end)
+                    found = encoder.encode_all(batch["text"].slice(at, 128).to_pylist())
+                    lengths += [len(data) // 4 + 1 for data in found]
+                    joined = end.join(found) + end
+                    out.write(np.frombuffer(joined, "<u4").astype("<u2").tobytes() if width == 2 else joined)
         if not lengths:
             fs.delete_file(path)
             return

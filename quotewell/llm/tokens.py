@@ -8,13 +8,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids are remembered in a Python worker, and the longest word that is.
-CACHE_WORDS, CACHE_CHARS = 600_000, 48
-#: Words of plain letters are one pre-token each, and a mark after one is a pre-token of its own.
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
-_SIMPLE_ALL = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?(?: |$))*+").fullmatch
-_MARK = np.zeros(256, np.int64)
-_MARK[list(b".,;:!?")] = 1
-
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
+#: Plain letters are one pre-token; printable ASCII that follows them, and doesn't begin with a letter, is parted from them.
+_PARTS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\\[-`{-~][!-~]{0,15})?").fullmatch
 
 
 def _lower(text: str) -> str:
@@ -43,7 +39,6 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {"": b""}
-        self.marks = {c: np.asarray(self._ids(c), "<u4").tobytes() for c in ".,;:!?"}
         self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
@@ -61,7 +56,7 @@ class WordEncoder:
         """The same for several texts, whose new words are encoded together."""
         split = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         new = self.new
-        missing = dict.fromkeys([w for words in split for w in words if w not in new])
+        missing = set().union(*split).difference(new)
         extra = self._learn(list(missing)) if missing else None
         if extra:
             out = [b"".join([extra[w] if w in extra else new[w] for w in words]) for words in split]
@@ -75,32 +70,33 @@ class WordEncoder:
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Remembers the ids of words; returns those of words too long to be remembered."""
         new, extra, odd = self.new, {}, []
-        marks, rest = self.marks, []
-        for w in missing:  # a mark after a letter is a pre-token of its own: a known word before it isn't encoded again
-            if w[-1] in marks and "A" <= w[-2:-1] <= "z" and w[-2].isalpha() and (held := new.get(w[:-1])) is not None:
-                new[w] = held + marks[w[-1]]
+        joined_of: dict[str, tuple[str, str]] = {}
+        rest: dict[str, None] = {}
+        for w in missing:
+            parts = _PARTS(w)
+            if parts is None:
+                odd.append(w)
+            elif parts[2]:  # what follows the letters is pre-tokenized by itself: few different ends, and each word once
+                joined_of[w] = base, end = parts.groups()
+                if base not in new:
+                    rest[base] = None
+                if end not in new:
+                    new[end] = np.asarray(self._ids(end), "<u4").tobytes()
             else:
-                rest.append(w)
-        missing = rest
-        joined = " ".join(missing)
-        if not _SIMPLE_ALL(joined):
-            odd = [w for w in missing if not _SIMPLE(w)]
-            skip = set(odd)
-            missing = [w for w in missing if w not in skip]
-            joined = " ".join(missing)
-        if missing:
-            ids = np.asarray(self._ids(joined), "<u4")
-            chars = np.frombuffer((joined + " ").encode("latin-1"), np.uint8)
-            pieces = 1 + _MARK[chars[np.flatnonzero(chars == 32) - 1]]
+                rest[w] = None
+        if rest:
+            ids = np.asarray(self._ids(" ".join(rest)), "<u4")
             ends = np.flatnonzero(self.last[ids])
-            if len(ends) != pieces.sum():
+            if len(ends) != len(rest):
                 raise ValueError("the tokenizer doesn't end each word with one end-of-word token")
             data, at = ids.tobytes(), 0
-            for w, end in zip(missing, (4 * (ends[np.cumsum(pieces) - 1] + 1)).tolist(), strict=True):
+            for w, end in zip(rest, (4 * (ends + 1)).tolist(), strict=True):
                 (new if len(w) <= CACHE_CHARS else extra)[w] = data[at:end]
                 at = end
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             (new if len(w) <= CACHE_CHARS else extra)[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w, (base, end) in joined_of.items():
+            (new if len(w) <= CACHE_CHARS else extra)[w] = (new[base] if base in new else extra[base]) + new[end]
         return extra
 
     def _ids(self, text: str) -> list[int]:
