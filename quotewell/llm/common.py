@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+#: Bytes of a batch that goes to Python, where the session has Spark's default (64 MB: some hundred MB in each worker).
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of a session that leaves their size to Spark; a single row may still be larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -39,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quotewell/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         atexit.register(self.drop, self.root)
 
     def path(self, name: str) -> str:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Buckets of hashed n-grams, lengths of n-grams, labelled rows that are learned from (about; by the hash of doc_id), and
 #: languages that are scored at a time. The matrix takes 256 KB a language.
 BUCKETS, LENGTHS, MAX_TRAIN, LANG_BLOCK = 1 << 16, (1, 2, 3), 20_000, 16
@@ -87,6 +89,7 @@ class Model:
 
 def train(docs: DataFrame, most: int = MAX_TRAIN, smoothing: float = 0.5) -> Model:
     """Learns from text and non-null lang of about ``most`` rows that aren't held out, chosen by the hash of doc_id."""
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     n = rows.count()
     if n > most:

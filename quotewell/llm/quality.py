@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textscan import Chunk, chunks, mix, rolling, span_hash
 
 #: The largest share of characters in repeated n-grams of so many words, and in repeated lines.
@@ -92,6 +93,7 @@ def repetition(docs: DataFrame, ngram_limits: dict[int, float] | None = None, li
 
     Null and empty texts have no words and fail the base rule; rows with equal or null doc_id are judged each by itself.
     """
+    small_batches(docs.sparkSession)
     limits = dict(sorted((NGRAM_LIMITS if ngram_limits is None else ngram_limits).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

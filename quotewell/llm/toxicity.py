@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .langid import held_out
 from .textscan import NOT_LETTER, byte_hash, chunks, mix
 
@@ -88,6 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
     At most about ``max_rows`` toxic and other rows are learned from, by the hash of doc_id: their ids are broadcast, so the
     documents are not shuffled. Without both labels the score is the share of toxic rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
