@@ -14,10 +14,10 @@ def _upto(stream: list[str], order: str) -> Window:
 
 
 def segments(events: DataFrame, stream: list[str], order: str = "ordinal", init: str = "is_init", levels: str = "level_count") -> DataFrame:
-    """segment_id is the number of initializations so far (0: before any), row_offset the levels before."""
-    w = _upto(stream, order)
+    """segment_id counts from 0 at the first initialization (null before any), row_offset is the levels before."""
+    opened = F.sum(F.col(init).cast("long")).over(_upto(stream, order))
     before = F.sum(levels).over(Window.partitionBy(*stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("segment_id", F.sum(F.col(init).cast("long")).over(w)).withColumn("row_offset", F.coalesce(before, F.lit(0)))
+    return events.withColumn("segment_id", F.when(opened > 0, opened - 1)).withColumn("row_offset", F.coalesce(before, F.lit(0)))
 
 
 def continuity(events: DataFrame, stream: list[str], kind: str = "ranged", order: str = "ordinal", init: str = "is_init") -> DataFrame:

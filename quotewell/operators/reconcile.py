@@ -32,10 +32,10 @@ def winners(reconciled: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def id_reliable(exchange: Column, scope: Column, trade_id: Column) -> Column:
-    """Whether a trade id identifies a trade across sources, by the profile's scope, else by what the exchange is known for."""
+    """Whether a trade id identifies a trade across sources, by the profile's scope, else by what the exchange is known for; a null id never does."""
     uuid = trade_id.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     known = F.when(exchange.isin("binance", "okx"), True).when(exchange == "bybit", uuid).otherwise(False)
-    return F.when(scope.isin("global", "instrument", "ordered_run"), True).when(scope.isin("source_local", "unreliable"), False).otherwise(F.coalesce(known, F.lit(False)))
+    return F.when(trade_id.isNull(), False).when(scope.isin("global", "instrument", "ordered_run"), True).when(scope.isin("source_local", "unreliable"), False).otherwise(F.coalesce(known, F.lit(False)))
 
 
 def observe(rows: DataFrame, source: list[str], order: list[str], time: str = "event_timestamp_ns", ident: str = "trade_id") -> DataFrame:

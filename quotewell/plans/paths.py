@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 
 @dataclass(frozen=True, order=True)
@@ -22,23 +24,23 @@ def graph(instruments: list[tuple[str, str, str]]) -> dict[str, list[Edge]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+class TooManyPaths(ValueError):
+    """More paths than the limit: the search is refused, none is left out."""
+
+
+def _walk(edges: dict[str, list[Edge]], path: tuple[Edge, ...], seen: frozenset[str], at: str, target: str, hops: int) -> Iterator[tuple[Edge, ...]]:
+    for e in edges.get(at, []) if hops else []:
+        if e.to == target:
+            yield (*path, e)
+        elif e.to not in seen:
+            yield from _walk(edges, (*path, e), seen | {e.to}, e.to, target, hops - 1)
+
+
 def paths(edges: dict[str, list[Edge]], source: str, target: str, max_hops: int = 3, limit: int = 32) -> list[tuple[Edge, ...]]:
-    """Simple paths, shortest first, then by (to, stream) of their edges; at most ``limit``."""
+    """Simple paths depth first, neighbours by (to, stream): the first that has prices decides a rate. Over ``limit`` it refuses."""
     if source == target:
         return [()]
-    found: list[tuple[Edge, ...]] = []
-    level: list[tuple[Edge, ...]] = [()]
-    for _ in range(max_hops):
-        longer = []
-        for path in level:
-            at = path[-1].to if path else source
-            seen = {source, *(e.to for e in path)}
-            for e in edges.get(at, []):
-                if e.to == target:
-                    found.append((*path, e))
-                    if len(found) == limit:
-                        return found
-                elif e.to not in seen:
-                    longer.append((*path, e))
-        level = longer
+    found = list(islice(_walk(edges, (), frozenset([source]), source, target, max_hops), limit + 1))
+    if len(found) > limit:
+        raise TooManyPaths(f"more than {limit} paths from {source} to {target}")
     return found

@@ -171,7 +171,7 @@ _SEG = f"{_D}, g AS (SELECT *, sum(CAST(is_init AS BIGINT)) OVER (PARTITION BY b
 
 @_query(f"WITH {_SEG} SELECT book, CAST(segment_id AS BIGINT) AS segment_id, count(*) AS events, CAST(min(o) AS BIGINT) AS first_offset FROM (SELECT *, coalesce(sum(quantity) OVER (PARTITION BY book ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM g) GROUP BY 1, 2")
 def book_segments(spark, d):
-    s = book.segments(B.levels(spark, d), ["book"], levels="quantity")
+    s = book.segments(B.levels(spark, d), ["book"], levels="quantity").withColumn("segment_id", F.coalesce(F.col("segment_id") + 1, F.lit(0)))
     return s.groupBy("book", "segment_id").agg(F.count(F.lit(1)).alias("events"), F.min("row_offset").cast("long").alias("first_offset"))
 
 
@@ -432,3 +432,138 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_CONVERTED} SELECT instrument_id, round(sum(CAST(v.price * rate AS DOUBLE)), 4) AS value_usd, count(*) FILTER (WHERE status = 'unavailable') AS unavailable, count(*) AS trades FROM v JOIN t USING (trade_id) GROUP BY 1")
 def valued_instruments(spark, d):
     return flagship(spark, d)
+
+
+# one query for each operator that no other query runs
+
+
+@_query(f"WITH {_SEG} SELECT book, CAST(segment_id - 1 AS BIGINT) AS segment_id, count(*) AS events FROM g WHERE segment_id > 0 GROUP BY 1, 2")
+def segments_from_zero(spark, d):
+    s = book.segments(B.levels(spark, d), ["book"], levels="quantity").where("segment_id is not null")
+    return s.groupBy("book", "segment_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+_UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+_IDS = "SELECT CASE trade_id % 4 WHEN 0 THEN 'binance' WHEN 1 THEN 'okx' WHEN 2 THEN 'bybit' ELSE 'kraken' END AS exchange, CASE trade_id % 3 WHEN 1 THEN 'global' WHEN 2 THEN 'unreliable' END AS scope, CASE WHEN trade_id % 5 = 0 THEN NULL WHEN trade_id % 7 < 3 THEN concat('00000000-0000-0000-0000-', lpad(CAST(trade_id AS {text}), 12, '0')) ELSE CAST(trade_id AS {text}) END AS id FROM t"
+
+
+@_query(f"WITH {_T}, i AS ({_IDS.format(text='VARCHAR')}) SELECT exchange, scope, CASE WHEN id IS NULL THEN false WHEN scope = 'global' THEN true WHEN scope = 'unreliable' THEN false WHEN exchange IN ('binance', 'okx') THEN true WHEN exchange = 'bybit' THEN regexp_matches(id, '{_UUID}') ELSE false END AS reliable, count(*) AS n FROM i GROUP BY 1, 2, 3")
+def reliable_ids(spark, d):
+    i = spark.sql(_IDS.format(text="STRING").replace("FROM t", "FROM {t}"), t=B.trades(spark, d))
+    return i.groupBy("exchange", "scope", reconcile.id_reliable(F.col("exchange"), F.col("scope"), F.col("id")).alias("reliable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_T}, o AS (SELECT stream_id, trade_id // 400 AS source, min(event_timestamp_ns) AS lo, max(event_timestamp_ns) AS hi FROM t GROUP BY 1, 2), l AS (SELECT *, lead(lo) OVER (PARTITION BY stream_id ORDER BY lo, hi) AS nxt FROM o) SELECT stream_id, bool_and(coalesce(hi < nxt, true)) AS appendable FROM l GROUP BY 1")
+def appendable_sources(spark, d):
+    t = B.trades(spark, d).withColumn("source", F.expr("trade_id div 400"))
+    return reconcile.appendable(reconcile.observe(t, ["stream_id", "source"], ["trade_id"]), ["stream_id"])
+
+
+@_query(f"WITH {_T}, l AS (SELECT stream_id, instrument_id, trade_id, lag(trade_id) OVER (PARTITION BY stream_id, instrument_id ORDER BY event_timestamp_ns, trade_id) AS before FROM t) SELECT stream_id, instrument_id, bool_and(coalesce(before < trade_id, true)) AS ordered_run FROM l GROUP BY 1, 2")
+def ordered_runs(spark, d):
+    t = B.trades(spark, d).withColumn("trade_id", F.col("trade_id").cast("string"))
+    return reconcile.ordered_run(t, ["stream_id", "instrument_id"])
+
+
+@_query(f"WITH {_T}, l AS (SELECT *, coalesce(max(event_timestamp_ns) OVER (PARTITION BY stream_id ORDER BY instrument_id, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - event_timestamp_ns, 0) AS down FROM t) SELECT stream_id, count(*) AS kept FROM l WHERE down <= {NS_PER_DAY} GROUP BY 1")
+def discarded_regressions(spark, d):
+    seen = reconcile.regressions(B.trades(spark, d), ["stream_id"], ["instrument_id", "trade_id"])
+    return reconcile.apply_regression_policy(seen, "discard", NS_PER_DAY).groupBy("stream_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@_query(f"WITH {_T}, s AS (SELECT stream_id, count(*) AS n FROM t GROUP BY 1) SELECT stream_id, dense_rank() OVER (ORDER BY n) - 1 AS stream_rank FROM s")
+def stream_ranks(spark, d):
+    counted = B.trades(spark, d).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
+    return markets.dense_ranks(counted, "n").select("stream_id", F.col("stream_rank").cast("long").alias("stream_rank"))
+
+
+@_query(f"WITH {_D} SELECT book, event_timestamp_ns // {NS_PER_DAY} AS day, side, price, count(*) AS n FROM d GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
+def levels_set_twice(spark, d):
+    return book.repeated_levels(B.levels(spark, d).withColumn("day", F.expr(f"event_timestamp_ns div {NS_PER_DAY}")), ["book", "day"])
+
+
+@_query(f"WITH {_D} SELECT book, ordinal FROM d WHERE event_timestamp_ns <= {DAY0 + 6 * NS_PER_DAY} QUALIFY row_number() OVER (PARTITION BY book ORDER BY event_timestamp_ns DESC, ordinal DESC) = 1")
+def checkpoint_before(spark, d):
+    return book.latest_checkpoint(B.levels(spark, d), ["book"], DAY0 + 6 * NS_PER_DAY, "event_timestamp_ns").select("book", "ordinal")
+
+
+_OBS = "SELECT book, min(ordinal) AS ordinal, max(quantity) AS sequence_end, sum(CASE WHEN side = 'bid' THEN 1 ELSE 0 END) AS bid_count, sum(CASE WHEN side = 'ask' THEN 1 ELSE 0 END) AS ask_count FROM {d} GROUP BY book, event_timestamp_ns {div} " + str(NS_PER_DAY)
+
+
+@_query(f"WITH {_D}, o AS ({_OBS.format(d='d', div='//')}), l AS (SELECT *, lag(sequence_end) OVER (PARTITION BY book ORDER BY ordinal) AS before FROM o) SELECT book, ordinal, bid_count <= 2 AND ask_count <= 2 AND coalesce(sequence_end >= before, true) AS valid FROM l")
+def bounded_observations(spark, d):
+    o = spark.sql(_OBS.format(d="{d}", div="div"), d=B.levels(spark, d))
+    return book.bounded_observation(o, ["book"], 2).select("book", "ordinal", "valid")
+
+
+@_query(f"WITH {_D}, o AS (SELECT book, bool_or(quantity = 0) AS broken, arg_max(is_init, ordinal) AS whole, bool_and(price < 12) AS known FROM d GROUP BY 1) SELECT book, CASE WHEN broken AND whole THEN 'recovered_from_snapshot' WHEN broken THEN 'gap_detected' WHEN known AND whole THEN 'verified' ELSE 'unverifiable' END AS continuity_class FROM o")
+def continuity_classes(spark, d):
+    return book.continuity_class(B.levels(spark, d), ["book"], F.col("quantity") == 0, F.col("is_init"), F.col("price") < 12)
+
+
+_RULED = "SELECT CASE WHEN trade_id % 11 = 0 THEN ' ' ELSE 's' END AS symbol, instrument_id, CASE WHEN trade_id % 13 = 0 THEN NULL ELSE price END AS price, CASE WHEN trade_id % 7 = 0 THEN NULL ELSE quantity - 3 END AS quantity_base, CAST(NULL AS BIGINT) AS quantity_quote, CASE WHEN trade_id % 14 = 0 THEN quantity END AS quantity_contracts, CASE trade_id % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'sell' ELSE stream_id END AS side FROM "
+
+
+@_query(f"WITH {_T}, r AS ({_RULED}t) SELECT CASE WHEN trim(symbol) = '' OR NOT coalesce(instrument_id > 0, false) THEN 'missing_identity' WHEN NOT coalesce(price > 0, false) THEN 'invalid_price' WHEN coalesce(quantity_base, quantity_contracts) IS NULL THEN 'missing_quantity' WHEN quantity_base <= 0 OR quantity_contracts <= 0 THEN 'invalid_quantity' WHEN side NOT IN ('buy', 'sell', 'unknown') THEN 'invalid_side' END AS error_category, count(*) AS n FROM r GROUP BY 1")
+def trade_rule_counts(spark, d):
+    r = spark.sql(_RULED + "{t}", t=B.trades(spark, d))
+    return integrity.categorize(r, integrity.trade_rules()).groupBy("error_category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_T}, r AS ({_RULED}t) SELECT CASE WHEN NOT coalesce(price > 0, false) THEN 'invalid_price' WHEN coalesce(quantity_base, quantity_contracts) IS NULL THEN 'missing_quantity' WHEN quantity_base < 0 OR quantity_contracts < 0 THEN 'invalid_quantity' WHEN (coalesce(quantity_base = 0, false) OR coalesce(quantity_contracts = 0, false)) AND (coalesce(quantity_base > 0, false) OR coalesce(quantity_contracts > 0, false)) THEN 'mixed_zero' END AS error_category, count(*) AS n FROM r GROUP BY 1")
+def level_rule_counts(spark, d):
+    r = spark.sql(_RULED + "{t}", t=B.trades(spark, d))
+    return integrity.categorize(r, integrity.level_rules()).groupBy("error_category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_T} SELECT trade_id, price, NULL::BIGINT AS quantity, 0 AS stream_rank FROM t WHERE stream_id = 'click' UNION ALL SELECT trade_id, NULL, quantity, 1 FROM t WHERE stream_id = 'view'")
+def streams_union(spark, d):
+    t = B.trades(spark, d)
+    click = t.where("stream_id = 'click'").select("trade_id", "price", F.lit(0).alias("stream_rank"))
+    return merge.union_streams([click, t.where("stream_id = 'view'").select("trade_id", "quantity", F.lit(1).alias("stream_rank"))]).select("trade_id", "price", "quantity", "stream_rank")
+
+
+@_query(f"WITH {_D}, l AS (SELECT * FROM d WHERE quantity > 5) SELECT book, count(l.ordinal) AS changes, arg_min(l.price, l.ordinal) AS first_price FROM (SELECT DISTINCT book FROM d) LEFT JOIN l USING (book) GROUP BY 1")
+def nested_depth(spark, d):
+    levels = B.levels(spark, d)
+    rows = levels.where("quantity > 5").selectExpr("book", "ordinal row", "side", "price", "quantity quantity_base", "null quantity_quote", "null quantity_contracts", "null order_count")
+    return merge.nest_depth(levels.select("book").distinct(), rows, ["book"]).selectExpr("book", "cast(if(changes is null, 0, size(changes)) as bigint) changes", "changes[0].price first_price")
+
+
+@_query(f"WITH {_D}, e AS (SELECT book % 5 AS stream_rank, book AS task_rank, ordinal AS event_ordinal, is_init, row_number() OVER (PARTITION BY book ORDER BY ordinal) AS k FROM d) SELECT stream_rank, task_rank, count(*) AS events FROM e WHERE NOT (is_init AND k = 1 AND task_rank % 3 = 0) GROUP BY 1, 2")
+def opening_initializations(spark, d):
+    e = B.levels(spark, d).selectExpr("book % 5 stream_rank", "book task_rank", "ordinal event_ordinal", "is_init")
+    relations = e.select("stream_rank", "task_rank").distinct().withColumn("relation", F.when(F.col("task_rank") % 3 == 0, "verified").otherwise("independent"))
+    return merge.skip_redundant_initializations(e, relations).groupBy("stream_rank", "task_rank").agg(F.count(F.lit(1)).alias("events"))
+
+
+@_query(f"WITH {_T} SELECT instrument_id, stream_id FROM t WHERE price > 50 EXCEPT SELECT instrument_id, stream_id FROM t WHERE price <= 50")
+def venue_difference(spark, d):
+    t = B.trades(spark, d)
+    return markets.same_venue_difference(t.where("price > 50"), t.where("price <= 50"), ["instrument_id", "stream_id"])
+
+
+_TEXTS = "SELECT trade_id, CASE trade_id % 4 WHEN 0 THEN 'Buy' WHEN 1 THEN 'SELL' WHEN 2 THEN 'sEll' ELSE 'buy' END AS side, concat('BTC-USD', CASE WHEN trade_id % 2 = 0 THEN '-240628' ELSE '' END) AS symbol FROM "
+
+
+@_query(f"WITH {_T}, x AS ({_TEXTS}t) SELECT CASE WHEN side IN ('Buy', 'buy', 'BUY') THEN 'buy' WHEN side IN ('Sell', 'sell', 'SELL') THEN 'sell' END AS side, regexp_replace(symbol, '-[0-9]{{6}}$', '') AS family, count(*) AS n FROM x GROUP BY 1, 2")
+def sides_and_families(spark, d):
+    x = spark.sql(_TEXTS + "{t}", t=B.trades(spark, d))
+    return x.groupBy(X.side_casefold(F.col("side")).alias("side"), X.family_of(F.col("symbol")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_VOLUMES = "SELECT trade_id, CASE WHEN trade_id % 3 = 0 THEN CAST(quantity AS DOUBLE) END AS base, CASE WHEN trade_id % 2 = 0 THEN CAST(quantity AS DOUBLE) END AS contracts, CASE WHEN trade_id % 5 = 0 THEN CAST(2 AS DOUBLE) END AS face, CAST(10 AS DOUBLE) AS quote_face, CASE WHEN trade_id % 7 = 0 THEN NULL ELSE price END AS price FROM "
+
+
+@_query(f"WITH {_T}, v AS ({_VOLUMES}t), w AS (SELECT *, contracts * face AS by_face, contracts * quote_face / nullif(price, 0) AS estimated FROM v) SELECT trade_id, round(coalesce(CASE WHEN base > 0 THEN base END, CASE WHEN by_face > 0 THEN by_face END, CASE WHEN estimated > 0 THEN estimated END), 6) AS volume, CASE WHEN base > 0 THEN 'base_volume' WHEN by_face > 0 THEN 'contracts' WHEN estimated > 0 THEN 'estimated' WHEN price IS NULL THEN 'no_price' ELSE 'no_volume' END AS measured FROM w")
+def volume_measures(spark, d):
+    v = spark.sql(_VOLUMES + "{t}", t=B.trades(spark, d))
+    value, how = markets.volume_measure(*(F.col(c) for c in ("base", "contracts", "face", "quote_face", "price")))
+    return v.select("trade_id", F.round(value, 6).alias("volume"), how.alias("measured"))
+
+
+@_query(f"WITH {_T}, r AS (SELECT trade_id FROM t WHERE trade_id % 4 <> 0 OR trade_id > 300), w AS (SELECT unnest(range(min(trade_id), max(trade_id) + 1)) AS trade_id FROM t) SELECT CAST(trade_id AS BIGINT) AS trade_id FROM w WHERE trade_id NOT IN (SELECT trade_id FROM r)")
+def rest_bridge_whole(spark, d):
+    t = B.trades(spark, d).select("trade_id", "price", "quantity")
+    low, high = t.agg(F.min("trade_id"), F.max("trade_id")).first()
+    return markets.bridge_rest(t.where("trade_id > 150"), t.where("trade_id % 4 <> 0 or trade_id > 300"), (low or 0) - 1, high or 0)[1]

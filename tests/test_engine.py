@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quotewell.functions import exact
 from quotewell.functions import scalars as X
 from quotewell.operators import asof, book, datasets, merge, reconcile
-from quotewell.plans.paths import graph, paths
+from quotewell.plans.paths import TooManyPaths, graph, paths
 from quotewell.sources import publish, readers
 from quotewell.streaming import live
 
@@ -92,9 +92,11 @@ def test_strict_asof_matches_brute_force_on_ties(spark):
 def test_currency_paths():
     g = graph([("s1", "BTC", "USDT"), ("s2", "ETH", "BTC"), ("s3", "ETH", "USDT")])
     found = paths(g, "ETH", "USDT")
-    assert [[e.stream_id for e in p] for p in found] == [["s3"], ["s2", "s1"]]
+    assert [[e.stream_id for e in p] for p in found] == [["s2", "s1"], ["s3"]]  # depth first: BTC sorts before USDT
+    with pytest.raises(TooManyPaths):
+        paths(g, "ETH", "USDT", limit=1)
     assert paths(g, "XRP", "USDT") == [] and paths(g, "BTC", "BTC") == [()]
-    assert [e.inverse for e in paths(g, "USDT", "ETH")[0]] == [True]
+    assert [[e.inverse for e in p] for p in paths(g, "USDT", "ETH")] == [[True, True], [True]]
 
 
 def test_book_continuity(spark):
