@@ -71,5 +71,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_token_files, op3_warc, op4_quality, op5_neardup, op6_mixing, op7_langid, op8_toxicity, op9_linededup, op10_embdedup)}
 
 
+_REACH = """reach(a, b) AS (SELECT id, id FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+part AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1)"""
+
+_OP5 = f"""WITH RECURSIVE text AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM text),
+gram AS (SELECT doc_id, n, k, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g FROM word),
+item AS (SELECT DISTINCT doc_id, g FROM gram WHERE k <= greatest(n - 3, 1)),
+size AS (SELECT doc_id, count(*) AS n FROM item GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM item x JOIN item y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+node AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN size USING (doc_id) JOIN part ON part.id = d.doc_id"""
+
+_OP10 = f"""WITH RECURSIVE given AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM given WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_aggregate(list_transform(v, lambda x: x * x), 'sum') > 0),
+link AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.id <> y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+many AS (SELECT a AS id, count(*) AS n FROM link GROUP BY 1),
+node AS (SELECT id FROM given), {_REACH}
+SELECT given.id AS vec_id, coalesce(many.n, 0) AS n_links, component_id, given.id = component_id AS kept FROM given LEFT JOIN many USING (id) JOIN part USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators whose results are decided by the data alone and that DuckDB can compute on whole small tables."""
+    return {"op5_neardup": _OP5, "op10_embdedup": _OP10}
