@@ -5,6 +5,9 @@ Rows are levels or events with a stream, an order (``ordinal``) and, where they
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,39 @@ def relative_to_absolute(levels: DataFrame, book: list[str], order: str = "ordin
     return seeded.withColumn("quantity", total).withColumn("invalid", F.col("quantity") < 0).drop("__lot")
 
 
+def apply_changes(levels: DataFrame, book: list[str], order: str = "ordinal", delta: str = "delta", seed: str = "is_seed") -> DataFrame:
+    """Adds lot (seeds so far), quantity after each signed change, and rejected: a change below nothing enters no later sum.
+
+    Lots whose plain running sum never falls below zero are that sum. Only the others are worked through in order, as streams of sorted
+    rows with one state, so that a lot of any length needs no more memory.
+    """
+    key = [*book, "side", "price"]
+    lots = F.coalesce(F.sum(F.col(seed).cast("long")).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    seeded = levels.withColumn("lot", lots)
+    total = F.sum(delta).over(Window.partitionBy(*key, "lot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = seeded.withColumn("quantity", total.cast(levels.schema[delta].dataType))
+    summed = summed.withColumn("__low", F.min("quantity").over(Window.partitionBy(*key, "lot"))).withColumn("rejected", F.lit(False))
+    fine = summed.where("__low >= 0").drop("__low")
+    rest = summed.where("__low < 0").drop("__low").withColumn("__k", F.xxhash64(*key, "lot"))
+    kind = fine.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, 0
+        for batch in batches:
+            quantity, rejected = [], []
+            for k, d in zip(batch["__k"].to_pylist(), batch[delta].to_pylist(), strict=True):
+                if k != last:
+                    last, state = k, 0
+                bad = d is not None and state + d < 0
+                state = state if bad or d is None else state + d
+                quantity.append(state)
+                rejected.append(bad)
+            made = {"quantity": pa.array(quantity, batch["quantity"].type), "rejected": pa.array(rejected, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch[n] for n in kind.names], kind.names)
+
+    return fine.unionByName(rest.repartition(*key).sortWithinPartitions(*key, "lot", order).mapInArrow(run, kind))
+
+
 def assemble_snapshots(rows: DataFrame, stream: list[str], order: str = "ordinal", snapshot: str = "is_snapshot") -> DataFrame:
     """Consecutive snapshot rows as one snapshot, valid if one time and sequence cover both sides."""
     w = Window.partitionBy(*stream).orderBy(order)

@@ -567,3 +567,9 @@ def rest_bridge_whole(spark, d):
     t = B.trades(spark, d).select("trade_id", "price", "quantity")
     low, high = t.agg(F.min("trade_id"), F.max("trade_id")).first()
     return markets.bridge_rest(t.where("trade_id > 150"), t.where("trade_id % 4 <> 0 or trade_id > 300"), (low or 0) - 1, high or 0)[1]
+
+
+@_query(f"WITH {_D}, r AS (SELECT *, CASE WHEN is_init THEN quantity ELSE quantity - 4 END AS delta, sum(CAST(is_init AS BIGINT)) OVER (PARTITION BY book, side, price ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS lot FROM d), s AS (SELECT book, side, price, CAST(lot AS BIGINT) AS lot, list(delta ORDER BY ordinal) AS x FROM r GROUP BY ALL) SELECT book, side, price, lot, list_reduce(list_prepend(CAST(0 AS BIGINT), x), lambda s, c: CASE WHEN s + c < 0 THEN s ELSE s + c END) AS quantity FROM s")
+def changes_with_rejections(spark, d):
+    rows = B.levels(spark, d).withColumn("delta", F.when(F.col("is_init"), F.col("quantity")).otherwise(F.col("quantity") - 4))
+    return book.apply_changes(rows, ["book"], seed="is_init").groupBy("book", "side", "price", "lot").agg(F.max_by("quantity", "ordinal").alias("quantity"))
