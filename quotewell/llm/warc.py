@@ -20,7 +20,8 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lookup_join, partitions
@@ -28,6 +29,8 @@ from .files import open_fs
 
 #: Lines of a run between two entries of its block index.
 _BLOCK = 256
+#: Block keys that cut the key space into ranges.
+SAMPLE = 20_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 
@@ -158,7 +161,7 @@ def _run_row(root: str, entries: Iterable[tuple], name: str = "run") -> pa.Recor
         for e in entries:
             line = json.dumps(e, ensure_ascii=False).encode() + b"\n"
             if n % _BLOCK == 0:
-                keys.append(json.dumps(e[:3], ensure_ascii=False))
+                keys.append(json.dumps(e[:5], ensure_ascii=False))
                 offsets.append(at)
             out.write(line)
             n, at = n + 1, at + len(line)
@@ -178,61 +181,66 @@ def _lines(file: str, start: int, size: int, low: tuple | None, high: tuple | No
             rest = lines.pop()
             for line in lines:
                 e = tuple(json.loads(line))
-                if high is not None and e[:3] >= high:
+                if high is not None and e[:5] >= high:
                     return
-                if low is None or e[:3] >= low:
+                if low is None or e[:5] >= low:
                     yield e
 
 
 def merge_runs(runs: DataFrame, scratch: Scratch, fan_in: int = 64) -> DataFrame:
     """(part, file, n): the segments of the global order, one a key range.
 
-    The driver holds the runs' names and every ``_BLOCK``-th key, as a file listing would be held.
+    The driver holds about ``SAMPLE`` block keys, which only cut the ranges. A key ends in its record's place, so it is unique and
+    captures that agree in URL, time and page are cut apart like all others. Which blocks of which run a range takes is
+    worked out where the runs are, and a merge takes at most ``fan_in`` of them.
     """
     spark = runs.sparkSession
-    held = [(r["file"], [tuple(json.loads(k)) for k in r["keys"]], r["offsets"]) for r in runs.collect()]
-    sample = sorted(k for _, keys, _ in held for k in keys)
+    blocks = runs.agg(F.sum(F.size("keys"))).first()[0] or 0
+    lot = F.xxhash64("file", "pos") / F.lit(2.0**64) + F.lit(0.5)
+    drawn = runs.select("file", F.posexplode("keys").alias("pos", "key")).where(lot < SAMPLE / max(blocks, 1)).select("key").collect()
+    sample = sorted(tuple(json.loads(r["key"])) for r in drawn)
     wanted = min(partitions(spark), max(1, len(sample)))
     cuts: list[tuple | None] = [None, *sorted({sample[i * len(sample) // wanted] for i in range(1, wanted)})] if sample else [None]
-    ranges = list(zip(cuts, [*cuts[1:], None], strict=True))
-    root = f"{scratch.root}/merged"
-    jobs: dict[int, list[tuple[str, int, int]]] = {i: [] for i in range(len(ranges))}
-    for file, keys, offsets in held:
-        for i, (low, high) in enumerate(ranges):
-            a = 0 if low is None else max(0, bisect.bisect_left(keys, low) - 1)
-            b = len(keys) if high is None else bisect.bisect_left(keys, high)
-            if b > a:
-                jobs[i].append((file, offsets[a], offsets[b] - offsets[a]))
-    first = True
+    held = spark.sparkContext.broadcast(list(zip(cuts, [*cuts[1:], None], strict=True)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, offsets, out = [tuple(json.loads(k)) for k in row["keys"]], row["offsets"], []
+                for i, (low, high) in enumerate(held.value):
+                    a = 0 if low is None else max(0, bisect.bisect_left(keys, low) - 1)
+                    b = len(keys) if high is None else bisect.bisect_left(keys, high)
+                    if b > a:
+                        out.append({"part": i, "file": row["file"], "start": offsets[a], "size": offsets[b] - offsets[a]})
+                yield pa.RecordBatch.from_pylist(out, SOURCE_ARROW)
+
+    sources, ranges = scratch.save(runs.select("file", "keys", "offsets").mapInArrow(place, "part int, file string, start long, size long"), "sources"), held
     while True:
-        rows = []
-        for i, sources in jobs.items():
-            low, high = ranges[i] if first else (None, None)
-            for g in range(0, len(sources), fan_in):
-                rows.append((i, sources[g : g + fan_in], low and json.dumps(low), high and json.dumps(high)))
-        if not rows:
-            return spark.createDataFrame([], "part int, file string, n long")
-        work = spark.createDataFrame(rows, "part int, sources array<struct<file:string,start:long,size:long>>, low string, high string").repartition(len(rows), "part")
-        merged = scratch.save(work.mapInArrow(_merge(root), "part int, file string, n long, size long"), "segments")
-        if len(rows) == len({r[0] for r in rows}):
+        rank = F.row_number().over(Window.partitionBy("part").orderBy("file")) - 1
+        jobs = sources.withColumn("job", F.floor(rank / fan_in)).groupBy("part", "job").agg(F.collect_list(F.struct("file", "start", "size")).alias("sources"))
+        jobs = scratch.save(jobs, "jobs")
+        n = max(1, min(jobs.count(), 4 * partitions(spark)))
+        merged = scratch.save(jobs.repartition(n, "part", "job").mapInArrow(_merge(f"{scratch.root}/merged", ranges), "part int, job long, file string, n long, size long"), "segments")
+        if not merged.agg(F.max("job")).first()[0]:
             return merged.select("part", "file", "n")
-        jobs = {}
-        for r in merged.orderBy("part", "file").collect():
-            jobs.setdefault(r["part"], []).append((r["file"], 0, r["size"]))
-        first = False
+        sources, ranges = merged.select("part", "file", F.lit(0).cast("long").alias("start"), "size"), None
 
 
-def _merge(root: str) -> Callable:
+def _merge(root: str, ranges: Broadcast | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                low, high = (tuple(json.loads(x)) if x else None for x in (row["low"], row["high"]))
+                low, high = ranges.value[row["part"]] if ranges else (None, None)
                 done = _run_row(root, LoserTree([_lines(s["file"], s["start"], s["size"], low, high) for s in row["sources"]]), "segment").to_pylist()[0]
-                yield pa.RecordBatch.from_pylist([{"part": row["part"], "file": done["file"], "n": done["n"], "size": done["offsets"][-1]}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n", pa.int64()), ("size", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([{"part": row["part"], "job": row["job"], "file": done["file"], "n": done["n"], "size": done["offsets"][-1]}], SEGMENT_ARROW)
 
     return run
 
 
+SOURCE_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
+SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("job", pa.int64()), ("file", pa.string()), ("n", pa.int64()), ("size", pa.int64())])
+
+
 def read_index(segments: DataFrame) -> DataFrame:
     """(part, pos, url_key, timestamp, page_id, archive, offset, size): the captures, ordered by (part, pos)."""
 
@@ -286,10 +294,14 @@ def write_and_read(pages: DataFrame, least_bytes: int = 0, fan_in: int = 64) ->
     """Archives ``pages`` and reads them back through the merged index."""
     scratch = Scratch(pages.sparkSession, "warc")
     decided = scratch.save(decide(pages, scratch, least_bytes), "decided")
-    revisits = decided.where("refers_to is not null").selectExpr("page_id p", "sha s", "refers_to").distinct()
+    # (nameless, p, s) is never null, so rows without a page_id are dealt out as a hot key like any other
+    key = ["nameless", "p", "s"]
+    named = [F.col("page_id").isNull().alias("nameless"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("p")]
+    revisits = decided.where("refers_to is not null").select(*named, F.col("sha").alias("s"), "refers_to").distinct()
+    counts = decided.groupBy(*named, F.col("sha").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     html = F.coalesce(F.col("html"), F.lit(""))
     when = [F.col("captured_at")] if "captured_at" in pages.columns else []
-    own = pages.select(F.col("page_id").cast("long"), "url", "html", *when).withColumn("s", F.sha1(F.encode(html, "utf-8")))
-    joined = own.join(revisits, own["page_id"].eqNullSafe(revisits["p"]) & (own["s"] == revisits["s"]), "left").select("page_id", "url", "html", "refers_to", *when)
+    own = pages.select(F.col("page_id").cast("long"), "url", "html", *when, *named, F.sha1(F.encode(html, "utf-8")).alias("s"))
+    joined = lookup_join(own, revisits, key, "left", counts).select("page_id", "url", "html", "refers_to", *when)
     runs = scratch.save(write_archives(joined, f"{scratch.root}/archives"), "runs")
     return read_archives(read_index(merge_runs(runs, scratch, fan_in)))

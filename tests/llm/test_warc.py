@@ -42,3 +42,18 @@ def test_archives_round_trip_and_index_is_in_order(spark):
         keys = [(r.url_key, r.timestamp, r.page_id) for r in index]
         assert keys == sorted(keys) and len(keys) == len(rows)
     assert warc.write_and_read(pages.limit(0)).count() == 0
+
+
+def test_captures_alike_in_url_time_and_page_are_cut_apart(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_BLOCK", 4)
+    pages = spark.range(300).selectExpr("cast(null as long) page_id", "'http://a.example.com/' url", "concat('p', id % 3) html", "cast(null as long) refers_to").repartition(5)
+    scratch = Scratch(spark, "t")
+    runs = scratch.save(warc.write_archives(pages, f"{scratch.root}/a"), "runs")
+    for sample in (40, 20_000):
+        monkeypatch.setattr(warc, "SAMPLE", sample)
+        segments = warc.merge_runs(runs, scratch, 2)
+        assert sorted(r.n for r in segments.collect())[-1] < 150
+        index = warc.read_index(segments).orderBy("part", "pos").collect()
+        places = [(r.archive, r.offset) for r in index]
+        assert places == sorted(set(places)) and len(places) == 300
+        assert warc.read_archives(warc.read_index(segments)).count() == 300
