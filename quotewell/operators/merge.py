@@ -15,27 +15,40 @@ def union_streams(streams: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
 
 
-def regressions(events: DataFrame) -> DataFrame:
+def _with_high(events: DataFrame, last: int, bucket: int) -> DataFrame:
+    """Adds __high: the highest time of a stream from its first event to the one ``last`` places on, in its own order.
+
+    A stream may hold most events, so it is cut into buckets of ``bucket`` ordinals of a task: the maxima of the buckets, a row each, are
+    carried along the stream, and only a bucket is ever one window.
+    """
+    parts = ["stream_rank", "task_rank", "__bucket"]
+    placed = events.withColumn("__bucket", F.floor(F.col("event_ordinal") / bucket))
+    before = F.max("__top").over(Window.partitionBy("stream_rank").orderBy("task_rank", "__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    tops = placed.groupBy(*parts).agg(F.max("event_timestamp_ns").alias("__top")).withColumn("__before", before)
+    carried = tops.where("__before is not null").select(*[F.col(c).alias(f"__of_{c}") for c in parts], "__before")
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in parts]
+    inside = F.max("event_timestamp_ns").over(Window.partitionBy(*parts).orderBy("event_ordinal").rowsBetween(Window.unboundedPreceding, last))
+    return placed.withColumn("__high", inside).join(carried, same, "left").withColumn("__high", F.greatest("__high", "__before")).select(*events.columns, "__high")
+
+
+def regressions(events: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Events whose time is below an earlier one of their stream, by source order."""
-    w = Window.partitionBy("stream_rank").orderBy("task_rank", "event_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("__high", F.max("event_timestamp_ns").over(w)).where("event_timestamp_ns < __high").drop("__high")
+    return _with_high(events, -1, bucket).where("event_timestamp_ns < __high").drop("__high")
 
 
-def chronological(events: DataFrame, on_regression: str = "fail") -> DataFrame:
+def chronological(events: DataFrame, on_regression: str = "fail", bucket: int = 1 << 20) -> DataFrame:
     """Ordered by (time, stream, task, ordinal); a stream that regresses fails, or loses those events (drop)."""
     if on_regression == "fail":
-        if regressions(events).limit(1).count():
+        if regressions(events, bucket).limit(1).count():
             raise ValueError("a stream regresses in time")
         return events.orderBy(*KEY)
-    w = Window.partitionBy("stream_rank").orderBy("task_rank", "event_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("__high", F.max("event_timestamp_ns").over(w)).where("__high is null or event_timestamp_ns >= __high").drop("__high").orderBy(*KEY)
+    return _with_high(events, -1, bucket).where("__high is null or event_timestamp_ns >= __high").drop("__high").orderBy(*KEY)
 
 
-def causal_key(events: DataFrame) -> DataFrame:
+def causal_key(events: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Adds merge_time: the highest time of a stream so far, in its own order. Sorting by (merge_time, rank, task, ordinal) equals
     taking, again and again, the available head with the smallest (time, rank)."""
-    w = Window.partitionBy("stream_rank").orderBy("task_rank", "event_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("merge_time", F.max("event_timestamp_ns").over(w))
+    return _with_high(events, 0, bucket).withColumnRenamed("__high", "merge_time")
 
 
 def causal(events: DataFrame) -> DataFrame:

@@ -76,6 +76,24 @@ def test_causal_order_is_the_heads_in_turn(spark):
         merge.chronological(df)
 
 
+def test_highest_times_are_carried_over_buckets_and_tasks(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 60) if rng.random() < 0.9 else None, s, t, o) for s in range(3) for t in range(3) for o in range(17)]
+    df = spark.createDataFrame(rows, "event_timestamp_ns long, stream_rank long, task_rank long, event_ordinal long").repartition(6)
+    top, late, high = {}, [], []
+    for time, s, t, o in rows:
+        if time is not None and s in top and time < top[s]:
+            late.append((time, s, t, o))
+        if time is not None:
+            top[s] = max(top.get(s, time), time)
+        high.append((s, t, o, top.get(s)))
+    for bucket in (1, 4, 1 << 20):
+        assert sorted(tuple(r) for r in merge.regressions(df, bucket).collect()) == sorted(late)
+        assert sorted(tuple(r) for r in merge.causal_key(df, bucket).select("stream_rank", "task_rank", "event_ordinal", "merge_time").collect()) == high
+        kept = merge.chronological(df.where("event_timestamp_ns is not null"), "drop", bucket).count()
+        assert kept == sum(r[0] is not None for r in rows) - len(late)
+
+
 def test_strict_asof_matches_brute_force_on_ties(spark):
     rng = random.Random(3)
     rows = [(rng.randint(0, 50), i, rng.choice("ABE"), float(i)) for i in range(300)]
