@@ -9,8 +9,9 @@ are verified on the full sets, read again from the texts.
 Lines of one set are one class, whose first line stands for it, so repeated lines are never paired. A line needs one similar line
 before it: a posting list gives each line one candidate, that of fewest differences, and says whether there may be more. Lines
 whose candidate fails, and that may have more, are then compared with all earlier lines of their lists, and their next candidates
-verified, a few first, until they go or have none left. Lists that are longer than ``STAR``, or dealt out for their length, give a
-candidate only from the list's first line and from neighbours of like size; their other pairs are left to that second pass. Pairs
+verified, a few first, until they go or have none left. Lists of more pairs than ``STAR`` lines have, or dealt out for their length, give a
+candidate only from the list's first line and from neighbours of like size; their other pairs are left to that second pass. Only sizes
+that the positional filter lets pass are paired. Pairs
 are compared ``_PAIRS`` at a time, whatever the length of a list, and never become rows but for the nearest of each line.
 
 Lines travel in blobs of numpy arrays, a row for each batch and bucket, and a task sees one bucket at a time: buckets follow the
@@ -33,8 +34,8 @@ from .common import Scratch, hot_keys, partitions
 from .neardup import _verified
 from .textscan import Chunk, chunks, mix
 
-#: Buckets of word counts, of the filters that say which documents and lines are read again, and the longest posting list
-#: whose pairs are all formed at once. Every line with a word takes part.
+#: Buckets of word counts, the least buckets of the filters that say which documents and lines are read again, and the longest
+#: posting list whose pairs are all formed at once, if all its lines are of one size. Every line with a word takes part.
 BUCKETS, FILTER, STAR, MIN_WORDS = 1 << 20, 1 << 21, 4096, 1
 #: Lines and postings of a bucket, pairs that are compared at a time, and neighbours that a line of a long list is compared with.
 _LINES, _POSTINGS, _PAIRS, _NEAR = 100_000, 400_000, 250_000, 8
@@ -43,6 +44,8 @@ _MOST = 8
 #: Lines that are sorted at a time, and lines of a document that make a row.
 _BLOCK, _PIECE = 4096, 1 << 20
 _SLICES = 64
+#: Filters have so many buckets for each of their rows, up to ``_FILTER_MOST`` (32 MB) in all, and travel in parts of ``_PART`` buckets.
+_FILTER_EACH, _FILTER_MOST, _PART = 16, 1 << 28, 1 << 18
 _LAST = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -235,7 +238,6 @@ def _posted(hot: list[tuple], n_buckets: int, role: int = 3, asked=None):
     hot_key, hot_parts = np.array([k for k, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_key = np.unpackbits(asked.value).astype(bool) if asked else None
         for batch in batches:
             ident, n = np.asarray(batch["id"]), np.asarray(batch["n"]).astype(np.int64)
             key = _flat(batch["keys"], np.int32)
@@ -243,7 +245,7 @@ def _posted(hot: list[tuple], n_buckets: int, role: int = 3, asked=None):
             row = np.repeat(np.arange(len(n)), count)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
             if asked:
-                ok = of_key[key.astype(np.int64) % FILTER]
+                ok = _within(asked.value, key.astype(np.int64))
                 key, row, pos = key[ok], row[ok], pos[ok]
             part = np.full(len(key), -1, np.int64)
             if len(hot):
@@ -289,7 +291,12 @@ class _Lists:
         """Of each posting, where sizes of ``least`` begin (left) or end (right) in its list."""
         most = int(self.n.max()) + 1
         at = self.list * (most + 1) + self.n
-        return np.searchsorted(at, self.list * (most + 1) + np.minimum(least, most), side)
+        return np.searchsorted(at, self.list * (most + 1) + np.clip(least, 0, most), side)
+
+    def largest(self) -> np.ndarray:
+        """The size up to which lines may be similar to a posting's line, by length and by the words that it has from there on."""
+        t, n = self.tenths, self.n
+        return np.minimum(10 * n // t, (10 + t) * (n - self.pos) // t - n)
 
     def passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(earlier, later, differing parity bits) of the pairs that pass the length, positional and parity filters."""
@@ -326,10 +333,11 @@ def _candidates(tenths: int):
         for v in _buckets(batches, POSTING):
             x = _Lists(v, tenths)
             rows = np.arange(len(x.id))
-            long = ((x.length > STAR) | (x.part[x.start] >= 0))[x.list]
             # the smaller line of a pair leads, and shares a word among its rarest ones
             leads = x.n - x.pos >= -(-2 * tenths * x.n // (10 + tenths))
-            high = x.reach(10 * x.n // tenths, "right")
+            high = x.reach(x.largest(), "right")
+            pairs = np.bincount(x.list, np.where(leads, high - rows - 1, 0))
+            long = ((pairs > STAR * STAR / 2) | (x.part[x.start] >= 0))[x.list]
             high = np.where(long, np.minimum(high, rows + 1 + _NEAR), high)
             at = rows[leads]
             best, many = np.full(len(x.id), _LAST), np.zeros(len(x.id), bool)
@@ -363,7 +371,7 @@ def _next_candidates(tenths: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in _buckets(batches, POSTING | PROBE):
             x = _Lists(v, tenths)
-            low, high = x.reach(-(-tenths * x.n // 10), "left"), x.reach(10 * x.n // tenths, "right")
+            low, high = x.reach(-(-tenths * x.n // 10), "left"), x.reach(x.largest(), "right")
             at = np.flatnonzero(x.role == 2)
             held = [np.zeros(0, np.int64)] * 3
 
@@ -392,10 +400,28 @@ def _next_candidates(tenths: int, most: int):
 
 
 def _bits(df: DataFrame, column: str) -> np.ndarray:
-    """Which of ``FILTER`` buckets of a whole number are in use; at most so many rows reach the driver."""
-    bits = np.zeros(FILTER, bool)
-    bits[df.select(F.pmod(F.col(column).cast("long"), F.lit(FILTER)).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
-    return np.packbits(bits)
+    """Which buckets of a whole number are in use, eight a byte. There are more buckets than rows, so that few others are let in."""
+    size = FILTER
+    while size < min(_FILTER_MOST, _FILTER_EACH * df.count()):
+        size *= 2
+    part = min(_PART, size)
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(part, bool)
+        bits[table["b"].to_numpy() % part] = True
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    used = df.select(F.pmod(F.col(column).cast("long"), F.lit(size)).alias("b")).distinct().select(F.expr(f"int(b div {part})").alias("part"), "b")
+    out = np.zeros(size // 8, np.uint8)
+    for r in used.groupBy("part").applyInArrow(pack, "part int, bits binary").collect():
+        out.reshape(-1, part // 8)[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _within(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each whole number is let in by a filter of ``_bits``."""
+    at = x % (8 * len(bits))
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, held, least_words: int) -> DataFrame:
@@ -404,13 +430,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, held, least_words: int) -> DataFra
     by_doc, by_line = (spark.sparkContext.broadcast(_bits(wanted, c)) for c in ("rk", "hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_bits, line_bits = (np.unpackbits(x.value).astype(bool) for x in (by_doc, by_line))
         for batch in batches:
-            batch = batch.filter(pa.array(doc_bits[np.asarray(batch["rk"]) % FILTER]))
+            batch = batch.filter(pa.array(_within(by_doc.value, np.asarray(batch["rk"]))))
             for c in chunks(batch["text"], lower=True):
                 _, _, size, rank, start = line_sets(c, held.value, least_words)
                 fp = set_hash(rank, start, size)
-                at = np.flatnonzero(line_bits[fp % FILTER])
+                at = np.flatnonzero(_within(by_line.value, fp))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at]), _blobs(np.r_[0, np.cumsum(size[at])], rank[_ragged(start[at], size[at])])], ["hash", "items"])
 
     sets = docs.select("rk", "text").mapInArrow(run, "hash long, items binary")
@@ -499,9 +524,8 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, least_words: int = MIN_WORD
 
     def part(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lost = np.unpackbits(held.value).astype(bool)
             for batch in batches:
-                batch = batch.filter(pa.array(lost[np.asarray(batch["__rk"]) % FILTER] == wanted))
+                batch = batch.filter(pa.array(_within(held.value, np.asarray(batch["__rk"])) == wanted))
                 yield batch if wanted else counted(batch, batch["text"], pa.nulls(batch.num_rows, pa.list_(pa.int32())))
 
         return run

@@ -129,3 +129,25 @@ def test_columns_of_the_same_names_and_a_very_long_text(spark):
     assert found.columns == ["doc_id", "text", "n_lines", "removed"]
     got = {r.doc_id: (r.text, r.n_lines, r.removed) for r in found.collect()}
     assert got == {1: (long, 30_001, None), 2: ("new", 2, [0]), 3: ("", 1, [0])}
+
+
+def test_filters_follow_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FILTER", 1 << 10)
+    x = np.arange(5000) * 7919 - 10**7
+    frame = spark.createDataFrame([(int(v),) for v in x], "k long").repartition(3)
+    bits = linededup._bits(frame, "k")
+    assert np.bitwise_count(bits).sum() * 8 < 8 * len(bits)
+    assert linededup._within(bits, x).all() and linededup._within(bits, np.arange(10**6)).mean() < 0.125
+    assert not linededup._bits(frame.limit(0), "k").any()
+
+
+def test_a_long_list_of_few_pairs_leaves_no_line(monkeypatch):
+    monkeypatch.setattr(linededup, "STAR", 64)
+    n = 8 * 2 ** np.arange(10)  # ten sizes, far apart
+    size, at = np.repeat(n, 20), np.arange(200)
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 1 << 62, (2, 200))
+    v = {"key": np.zeros(200, np.int32), "part": np.full(200, -1, np.int32), "id": at, "packed": (size << 32) | 3, "parity": bits[0], "parity2": bits[1]}
+    batch = linededup.pa.RecordBatch.from_arrays([linededup.pa.array([x.astype(linededup.POSTING[k]).tobytes()], linededup.pa.binary()) for k, x in v.items()], list(v))
+    rows = [r for out in linededup._candidates(8)(iter([batch])) for r in out.to_pylist()]
+    assert rows and not [r for r in rows if r["a"] is None]
