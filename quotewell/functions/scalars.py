@@ -53,6 +53,11 @@ def ns_to_utc(ns: Column) -> Column:
     return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"), F.lit("Z"))
 
 
+def divide_doubles(a: Column, b: Column) -> Column:
+    """a / b as IEEE doubles: by zero it is infinite, or not a number where a is zero too."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def window_start(ns: Column, width: int = NS_PER_HOUR) -> Column:
     """Start of the tumbling window, right for times before the epoch too."""
     return ns - F.pmod(ns, F.lit(width))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import divide_doubles
 from ..plans.paths import Edge, graph, paths
 from ..schema import FAILURE, STATUS
 from .asof import aged, strict_asof
 
 
-def _path_rate(path: tuple[Edge, ...], time: Column, max_age_ns: int, price: str, field: str) -> tuple[Column, Column]:
+def _path_rate(path: tuple[Edge, ...], time: Column, max_age_ns: int, price: str, field: str, infinite: bool) -> tuple[Column, Column]:
     """(rate, failure) of a path: the product over its edges, or the failure of its first edge that fails."""
     rate, failure = F.lit(1.0), F.lit(None).cast("string")
     for e in path:
         value, failed = aged(F.col(f"ref_{e.stream_id}"), time, max_age_ns, price, field)
-        step = F.try_divide(F.lit(1.0), value) if e.inverse else value
+        step = (divide_doubles if infinite else F.try_divide)(F.lit(1.0), value) if e.inverse else value
         failed = F.coalesce(failed, F.when(step.isNull(), "arithmetic"))
         rate, failure = rate * step, F.coalesce(failure, failed)
     return F.when(failure.isNull(), rate), failure
@@ -35,11 +36,13 @@ def convert(
     primary_only: bool = False,
     by_time: bool = False,
     skip: Column | None = None,
+    infinite: bool = False,
 ) -> DataFrame:
     """Adds conversion_status, conversion_failure, conversion_rate, conversion_path and price_target.
 
     ``quotes`` names the quote currency of each stream. Of a stream's paths the first that has fresh references gives the rate; if
     none has, the failure is that of the last path tried. References of a row are strictly earlier, so no trade values itself.
+    The inverse of a price of zero fails as arithmetic, or with ``infinite`` is an infinite rate.
     """
     edges = graph(instruments)
     plans = {s: paths(edges, q, target, max_hops)[: 1 if primary_only else None] for s, q in quotes.items()}
@@ -49,7 +52,7 @@ def convert(
     rate, failure, path = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     for s, ps in sorted(plans.items()):
         own = F.col(stream) == s
-        tried = [(*_path_rate(p, time, max_age_ns, price, field), F.array(F.lit(quotes[s]), *[F.lit(e.to) for e in p])) for p in ps]
+        tried = [(*_path_rate(p, time, max_age_ns, price, field, infinite), F.array(F.lit(quotes[s]), *[F.lit(e.to) for e in p])) for p in ps]
         first = F.coalesce(*[r for r, _, _ in tried]) if tried else F.lit(None).cast("double")
         last = tried[-1][1] if tried else F.lit("no_path")
         chosen = F.coalesce(*[F.when(r.isNotNull(), n) for r, _, n in tried]) if tried else F.lit(None).cast("array<string>")
