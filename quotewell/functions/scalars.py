@@ -58,6 +58,12 @@ def divide_doubles(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
+def round_double(x: Column, places: int) -> Column:
+    """Rounds the scaled double half away from zero, as DuckDB does; F.round takes halves from the shortest decimal text. Doubles too large to scale stay."""
+    factor = F.lit(10.0**places)
+    return F.when(F.abs(x * factor) < float("inf"), F.round(x * factor) / factor).otherwise(x)
+
+
 def window_start(ns: Column, width: int = NS_PER_HOUR) -> Column:
     """Start of the tumbling window, right for times before the epoch too."""
     return ns - F.pmod(ns, F.lit(width))
