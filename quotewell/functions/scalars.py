@@ -97,10 +97,13 @@ def equals(value: Column, wanted: str | bool | int | float) -> Column:
     return parse_decimal(value.cast("string")) == F.lit(str(wanted)).cast(DEC)
 
 
-def normalize_quantity(kind: str, quantity: Column, price: Column, contract_value: Column | None = None, inverse: bool = False) -> dict[str, Column]:
-    """base, quote and contracts of a quantity given in one of them; null unless price and quantity are positive."""
-    ok = (quantity > 0) & (price > 0)
-    div = lambda a, b: F.try_divide(a, b)
+def normalize_quantity(kind: str, quantity: Column, price: Column, contract_value: Column | None = None, inverse: bool = False, any_price: bool = False) -> dict[str, Column]:
+    """base, quote and contracts of a quantity given in one of them; null unless price and quantity are positive.
+
+    With any_price only the quantity must be positive, and doubles are divided by a price of zero to infinity.
+    """
+    ok = (quantity > 0) if any_price else (quantity > 0) & (price > 0)
+    div = divide_doubles if any_price else F.try_divide
     if kind == "base":
         base, quote, contracts = quantity, quantity * price, F.lit(None)
     elif kind == "quote":
