@@ -55,7 +55,7 @@ def ns_to_utc(ns: Column) -> Column:
 
 def divide_doubles(a: Column, b: Column) -> Column:
     """a / b as IEEE doubles: by zero it is infinite, or not a number where a is zero too."""
-    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
 
 
 def round_double(x: Column, places: int) -> Column:

@@ -17,7 +17,9 @@ def _priced(rows: DataFrame, edges: list[Edge], time: Column, max_age_ns: int, p
     aged_by = {e: aged(F.col(f"ref_{e.stream_id}"), time, max_age_ns, price, field) for e in edges}
     rows = rows.withColumns({_name("price", e): value for e, (value, _) in aged_by.items()})
     rows = rows.withColumns({_name("step", e): divide(F.lit(1.0), F.col(_name("price", e))) if e.inverse else F.col(_name("price", e)) for e in edges})
-    return rows.withColumns({_name("failed", e): F.coalesce(failed, F.when(F.col(_name("step", e)).isNull(), "arithmetic")) for e, (_, failed) in aged_by.items()})
+    # a step divided as doubles is null where its price is
+    null = {e: F.col(_name("price" if infinite else "step", e)).isNull() for e in edges}
+    return rows.withColumns({_name("failed", e): F.coalesce(failed, F.when(null[e], "arithmetic")) for e, (_, failed) in aged_by.items()})
 
 
 def _name(kind: str, e: Edge) -> str:
@@ -25,11 +27,11 @@ def _name(kind: str, e: Edge) -> str:
 
 
 def _path_rate(path: tuple[Edge, ...]) -> tuple[Column, Column]:
-    """(rate, failure) of a path: the product over its edges, or the failure of its first edge that fails."""
+    """(rate, failure) of a path: the product over its edges, or the failure of its first edge that fails, whose step is null."""
     rate, failure = F.lit(1.0), F.lit(None).cast("string")
     for e in path:
         rate, failure = rate * F.col(_name("step", e)), F.coalesce(failure, F.col(_name("failed", e)))
-    return F.when(failure.isNull(), rate), failure
+    return rate, failure
 
 
 def convert(
